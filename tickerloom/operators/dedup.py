@@ -41,23 +41,23 @@ def _masks(bits: list[int], blocks: int, keep: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(runs, keep)]
 
 
-def _first_match(flipped: Column, masks: list[int]) -> Column:
+def _listed(masks: list[int]) -> Column:
+    """The masks as one constant array."""
+    return F.split(F.lit(",".join(str(_signed(m)) for m in masks)), ",").cast("array<bigint>")
+
+
+def _first_match(flipped: str, masks: list[int]) -> Column:
     """Index of the first mask under which no bit differs: each pair is reported there only."""
-    branches = [
-        F.when(flipped.bitwiseAND(F.lit(_signed(m))) == 0, F.lit(i)) for i, m in enumerate(masks)
-    ]
-    return F.coalesce(*branches)
-
-
-def _bands(fingerprint: Column, masks: list[int]) -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("band"),
-                fingerprint.bitwiseAND(F.lit(_signed(m))).alias("band_key"),
-            )
-            for i, m in enumerate(masks)
-        ]
+    branches = " ".join(
+        f"WHEN ({flipped} & {_signed(m)}L) = 0 THEN {i}" for i, m in enumerate(masks)
+    )
+    return F.expr(f"CASE {branches} END")
+
+
+def _bands(fingerprint: Column, masks: Column) -> Column:
+    return F.transform(
+        masks,
+        lambda m, i: F.struct(i.alias("band"), fingerprint.bitwiseAND(m).alias("band_key")),
     )
 
 
@@ -83,11 +83,13 @@ def near_pairs(
     keep = blocks - max_distance
     masks = _masks(list(range(64)), blocks, keep)
     bit_lists = [[b for b in range(64) if not (m >> b) & 1] for m in masks]
-    inner_masks = [_masks(bits, blocks, keep) for bits in bit_lists]
+    inner = [m for bits in bit_lists for m in _masks(bits, blocks, keep)]
+    # The masks for the bits outside one band's key.
+    own_inner = F.slice(_listed(inner), F.col("band") * len(masks) + 1, len(masks))
     self_join = right is None
 
     def banded(df: DataFrame) -> DataFrame:
-        return df.select("fp", F.inline(_bands(F.col("fp"), masks)))
+        return df.select("fp", F.inline(_bands(F.col("fp"), _listed(masks))))
 
     a = banded(left)
     b = a if self_join else banded(right)
@@ -112,32 +114,19 @@ def near_pairs(
         ) & (distance(F.col("fp_a"), F.col("fp_b")) <= max_distance)
         if self_join:
             pair = pair & (F.col("fp_a") < F.col("fp_b"))
-        flipped = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
-        pair = pair & (F.col("l.band") == _first_match(flipped, masks))
+        pair = pair & (F.col("l.band") == _first_match("(fp_a ^ fp_b)", masks))
         if "inner_band" in on:
-            first_inner = F.coalesce(
-                *[
-                    F.when(F.col("l.band") == i, _first_match(flipped, inner))
-                    for i, inner in enumerate(inner_masks)
-                ]
-            )
-            pair = pair & (F.col("l.inner_band") == first_inner)
+            flipped = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
+            equal = F.transform(F.col("l.inner_masks"), lambda m: flipped.bitwiseAND(m) == 0)
+            pair = pair & (F.col("l.inner_band") == F.array_position(equal, True) - 1)
         return l.join(r, pair).select(
             "fp_a", "fp_b", distance(F.col("fp_a"), F.col("fp_b")).alias("distance")
         )
 
     def rebanded(df: DataFrame) -> DataFrame:
-        choice = F.coalesce(
-            *[
-                F.when(F.col("band") == i, _bands(F.col("fp"), inner))
-                for i, inner in enumerate(inner_masks)
-            ]
-        )
-        finer = df.filter("is_hot").select("fp", *keys, F.explode(choice).alias("finer"))
+        finer = df.filter("is_hot").select("fp", *keys, own_inner.alias("inner_masks"))
         return finer.select(
-            "fp", *keys,
-            F.col("finer.band").alias("inner_band"),
-            F.col("finer.band_key").alias("inner_key"),
+            "*", F.inline(_bands(F.col("fp"), F.col("inner_masks"))).alias("inner_band", "inner_key")
         )
 
     cool = matched(a.filter("NOT is_hot"), b.filter("NOT is_hot"), keys)
@@ -150,6 +139,16 @@ def near_pairs(
 # --- greedy near-duplicate removal -------------------------------------------------------------
 
 
+def fingerprints(articles: DataFrame, arrival: str = "ordinal") -> DataFrame:
+    """(fp, arrival) of every article, written to the checkpoint folder.
+
+    The table is small against the texts and is read many times; writing it once keeps the texts
+    and the Python workers out of every later stage.
+    """
+    prepare(articles.sparkSession)
+    return articles.select(simhash64(F.col("headline")).alias("fp"), arrival).checkpoint()
+
+
 def _first_per_fingerprint(articles: DataFrame, arrival: str) -> DataFrame:
     return articles.groupBy("fp").agg(F.min(arrival).alias(arrival))
 
@@ -190,29 +189,23 @@ def _dropped_fingerprints(firsts: DataFrame, params: Params, arrival: str) -> Da
     return reduce(DataFrame.unionByName, rounds)
 
 
+def thin(prints: DataFrame, params: Params = DEFAULTS, arrival: str = "ordinal") -> DataFrame:
+    """Rows of a fingerprint table (`fp`, arrival, ...) that near de-duplication keeps."""
+    firsts = _first_per_fingerprint(prints, arrival)
+    kept = firsts.join(_dropped_fingerprints(firsts, params, arrival), "fp", "left_anti")
+    return prints.join(kept.select(arrival), arrival, "left_semi")
+
+
 def dedup_near(
-    articles: DataFrame,
-    params: Params = DEFAULTS,
-    arrival: str = "ordinal",
-    fingerprint: str | None = None,
+    articles: DataFrame, params: Params = DEFAULTS, arrival: str = "ordinal"
 ) -> DataFrame:
     """Drop every article near an earlier kept one; dropped articles never drop others.
 
     Articles with the same fingerprint share their fate with the first of them, so only distinct
     fingerprints are paired: a group of copies of any size is one node.
     """
-    prepare(articles.sparkSession)
-    added = fingerprint is None
-    marked = articles.withColumn("fp", simhash64(F.col("headline"))) if added else (
-        articles.withColumnRenamed(fingerprint, "fp")
-    )
-    # The fingerprint table is small against the texts and is read several times below.
-    prints = marked.select("fp", arrival).checkpoint()
-    firsts = _first_per_fingerprint(prints, arrival)
-    kept = firsts.join(_dropped_fingerprints(firsts, params, arrival), "fp", "left_anti")
-    survivors = marked if not added else articles
-    result = survivors.join(kept.select(arrival), arrival, "left_semi")
-    return result if added else result.withColumnRenamed("fp", fingerprint)
+    kept = thin(fingerprints(articles, arrival), params, arrival)
+    return articles.join(kept.select(arrival), arrival, "left_semi")
 
 
 def dedup(articles: DataFrame, params: Params = DEFAULTS, arrival: str = "ordinal") -> DataFrame:

@@ -229,6 +229,8 @@ def mark_halves(
 
     half = results.count() // 2
     cut_at, left = holder(at, "at", half, newest_first=True)
+    if left == 0:
+        return results.withColumn("side", F.when(own_at > cut_at, "cur").otherwise("ref"))
     tied = at.filter(F.col("at") == cut_at)
     cut_head, left = holder(tied, "head", left)
     cut_digit, _ = holder(tied.filter(F.col("head") == cut_head), "digit", left)

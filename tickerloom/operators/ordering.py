@@ -21,12 +21,15 @@ _BUCKET = "__bucket"
 def _with_bucket(rows: DataFrame, order: str, steps: int) -> DataFrame:
     """Add the number of cuts at or below the value: a binary search in chained projections.
 
-    The cuts are a scalar subquery, held once per task; each step reads one of them, so the search
-    costs log2(steps) comparisons inside generated code.
+    The cuts come from a first pass, as the bounds of a range partitioning do: at most `steps`
+    numbers reach the driver and go into the plan as one constant. The search costs log2(steps)
+    comparisons inside generated code.
     """
     text = ",".join(repr(i / steps) for i in range(1, steps))
     fractions = F.split(F.lit(text), ",").cast("array<double>")
-    cuts = rows.agg(F.percentile_approx(order, fractions, steps * 4).alias("cuts")).scalar()
+    found = rows.agg(F.percentile_approx(order, fractions, steps * 4).alias("cuts")).first()
+    kind = rows.schema[order].dataType.simpleString()
+    cuts = F.split(F.lit(",".join(map(repr, found["cuts"] or []))), ",").cast(f"array<{kind}>")
     found = rows.withColumn(_BUCKET, F.lit(0))
     half = steps // 2
     while half:

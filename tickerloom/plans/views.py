@@ -74,9 +74,12 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_raw_docs(table(spark, sf_dir, "documents"))
+
+
+def as_raw_docs(documents: DataFrame) -> DataFrame:
     """Whole texts as headlines without a URL: copies share a hash."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select(
+    return documents.select(
         F.col("doc_id").alias("ordinal"), "source", F.col("text").alias("headline"),
         content_hash(F.col("text"), F.lit("")).alias("content_hash"),
     )
@@ -139,16 +142,19 @@ def enrich(batch: DataFrame, params: Params = STORE_PARAMS) -> DataFrame:
 _stored: dict[tuple[str, str], str] = {}
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_path(spark: SparkSession, sf_dir: str) -> str:
     """The stored result table, written once per application below the shared folder."""
     prepare(spark)
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
-        safe = sf_dir.strip("/").replace("/", "_")
-        path = shared_dir(spark, "results", safe)
+        path = shared_dir(spark, "results", sf_dir.strip("/").replace("/", "_"))
         append_by_date(enrich(articles(spark, sf_dir)), path)
         _stored[key] = path
-    return spark.read.parquet(_stored[key])
+    return _stored[key]
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(stored_path(spark, sf_dir))
 
 
 def as_of(frame: DataFrame, column: str = "published_at") -> Column:

@@ -33,7 +33,7 @@ RSS = (
 # The placeholder headline and the time formats of the sources.
 REMOVED = "[Removed]"
 COMPACT_TIME = "yyyyMMdd'T'HHmmss"
-RSS_TIME = "EEE, d MMM yyyy HH:mm:ss Z"
+RSS_TIME = "d MMM yyyy HH:mm:ss Z"
 
 # Source kinds in the order in which a fetch asks them.
 RANK = {"newsapi": 0, "rss": 1, "alpha_vantage": 2}
@@ -105,7 +105,9 @@ def normalize_rss(payloads: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     c = F.col("col")
 
     def when(text: Column) -> Column:
-        return F.coalesce(F.try_to_timestamp(text, F.lit(RSS_TIME)), F.try_to_timestamp(text))
+        # The weekday says nothing new, and the zone may be a name.
+        plain = F.regexp_replace(F.regexp_replace(text, r"^[A-Za-z]+,\s*", ""), "(GMT|UTC|UT)$", "+0000")
+        return F.coalesce(F.try_to_timestamp(plain, F.lit(RSS_TIME)), F.try_to_timestamp(text))
 
     return _articles(
         items, "rss",
