@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -14,34 +13,65 @@ from pyspark.sql import types as T
 
 _WORD = re.compile(r"\w+")
 _WIDTH = 4
-_MEMO_LIMIT = 1 << 20
-_memo: dict[str, bytes] = {}
+
+
+def _letters(text: str) -> str:
+    return "".join(_WORD.findall(text.lower()))
 
 
 def _digest(shingle: str) -> bytes:
-    found = _memo.get(shingle)
-    if found is None:
-        if len(_memo) >= _MEMO_LIMIT:
-            _memo.clear()
-        found = _memo[shingle] = hashlib.md5(shingle.encode()).digest()[8:]
-    return found
+    return hashlib.md5(shingle.encode()).digest()[8:]
 
 
-def simhash_value(text: str) -> int:
-    """Majority vote, bit by bit, over the hashes of all four-character shingles (signed)."""
-    letters = "".join(_WORD.findall(text.lower()))
-    shingles = Counter(
-        letters[i : i + _WIDTH] for i in range(max(len(letters) - _WIDTH + 1, 1))
-    )
-    weights = np.fromiter(shingles.values(), dtype=np.int64, count=len(shingles))
+def _majority(bits: np.ndarray) -> int:
+    """Signed 64-bit value of the bits set in more than half of the rows."""
+    votes = bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(bits)).view(">i8")[0])
+
+
+def _bits(shingles: list[str]) -> np.ndarray:
     raw = np.frombuffer(b"".join(map(_digest, shingles)), dtype=np.uint8)
-    votes = weights @ np.unpackbits(raw.reshape(-1, 8), axis=1).astype(np.int64)
-    return int(np.packbits(2 * votes > weights.sum()).view(">i8")[0])
+    return np.unpackbits(raw.reshape(-1, 8), axis=1)
+
+
+def simhash_value(text: str) -> int:
+    """Majority vote, bit by bit, over the hashes of all four-character shingles."""
+    letters = _letters(text)
+    count = max(len(letters) - _WIDTH + 1, 1)
+    return _majority(_bits([letters[i : i + _WIDTH] for i in range(count)]))
+
+
+def simhash_batch(texts: list[str | None]) -> list[int | None]:
+    """The same for many texts: each shingle that a batch repeats is hashed once.
+
+    Four characters of 16 bits make one 64-bit key, so shingles are cut, told apart and looked up
+    as arrays. Texts with fewer letters, or with characters beyond 16 bits, take the plain way.
+    """
+    values: list[int | None] = [None] * len(texts)
+    keys, owners = [], []
+    for i, text in enumerate(texts):
+        if text is None:
+            continue
+        codes = np.frombuffer(_letters(text).encode("utf-32-le"), dtype=np.uint32)
+        if len(codes) < _WIDTH or codes.max() > 0xFFFF:
+            values[i] = simhash_value(text)
+            continue
+        c = codes.astype(np.uint64)
+        keys.append((c[:-3] << 48) | (c[1:-2] << 32) | (c[2:-1] << 16) | c[3:])
+        owners.append(i)
+    if keys:
+        places, distinct = pd.factorize(np.concatenate(keys))
+        points = distinct.astype(">u8").view(">u2").reshape(-1, _WIDTH).tolist()
+        bits = _bits(["".join(map(chr, p)) for p in points])
+        ends = np.cumsum([len(k) for k in keys])
+        for i, own in zip(owners, np.split(places, ends[:-1])):
+            values[i] = _majority(bits[own])
+    return values
 
 
 @F.pandas_udf(T.LongType())
 def _simhash(texts: pd.Series) -> pd.Series:
-    return texts.map(simhash_value, na_action="ignore").astype("Int64")
+    return pd.Series(simhash_batch(texts.tolist()), dtype="Int64")
 
 
 def simhash64(text: Column) -> Column:

@@ -12,7 +12,7 @@ from tickerloom.functions import vocab
 # A word boundary as Python sees it: Java's own \b counts combining marks as word characters.
 _NOT_AFTER_WORD = r"(?<![\p{L}\p{N}_])"
 _NOT_BEFORE_WORD = r"(?![\p{L}\p{N}_])"
-_TICKER = _NOT_AFTER_WORD + r"([A-Z]{1,5})" + _NOT_BEFORE_WORD
+_TICKER = r"(?=[A-Z])" + _NOT_AFTER_WORD + r"([A-Z]{1,5})" + _NOT_BEFORE_WORD
 _FORWARD = (
     "(?iu)" + _NOT_AFTER_WORD + "(?:"
     + vocab.FORWARD_LOOKING_TERMS.replace("{ws}", vocab.WHITESPACE_CLASS).replace(
@@ -34,22 +34,36 @@ def full_text(headline: Column, body: Column) -> Column:
     return strip(F.concat(headline, F.lit(" "), F.coalesce(body, F.lit(""))))
 
 
+def normal_form(text: Column) -> Column:
+    """Lower case, every white-space character a space, a space at both ends.
+
+    Counting words and looking them up are then single regular expressions over one string; an
+    array of words would be several times slower and leave generated code.
+    """
+    spaces = " " * len(vocab.WHITESPACE_CHARS)
+    plain = F.translate(F.lower(text), vocab.WHITESPACE_CHARS, spaces)
+    return F.concat(F.lit(" "), plain, F.lit(" "))
+
+
 def words(text: Column) -> Column:
-    """Lower-case words of a stripped text; none for an empty one."""
-    empty = F.array().cast("array<string>")
-    return F.when(text == "", empty).otherwise(
-        F.split(F.lower(text), vocab.WHITESPACE_CLASS + "+")
-    )
+    """Lower-case words as an array; none for an empty text."""
+    return F.filter(F.split(normal_form(text), " +"), lambda w: w != "")
+
+
+def _one_of(terms: tuple[str, ...]) -> str:
+    # The space behind a word is only looked at: it also opens the next word.
+    return " (?:" + "|".join(terms) + ")(?= )"
 
 
-def hedge_score(word_list: Column) -> Column:
-    hedges = F.size(F.filter(word_list, lambda w: w.isin(*vocab.HEDGE_WORDS)))
-    total = F.size(word_list)
+def hedge_score(normal: Column) -> Column:
+    """Share of hedging words among the words of a normal form; 0 where there are none."""
+    total = F.regexp_count(normal, F.lit("[^ ]+"))
+    hedges = F.regexp_count(normal, F.lit(_one_of(vocab.HEDGE_WORDS)))
     return F.when(total == 0, F.lit(0.0)).otherwise(hedges / total)
 
 
-def has_negation(word_list: Column) -> Column:
-    return F.arrays_overlap(word_list, F.array(*map(F.lit, vocab.NEGATION_WORDS)))
+def has_negation(normal: Column) -> Column:
+    return normal.rlike(_one_of(vocab.NEGATION_WORDS))
 
 
 def is_forward_looking(text: Column) -> Column:
@@ -92,23 +106,23 @@ def market_impact(headline: Column, fallback: Column | None = None) -> Column:
 def with_features(articles: DataFrame, fallback_impact: str | None = None) -> DataFrame:
     """Add every text feature to (headline, body) rows. Row-local: one narrow stage.
 
-    Three selects, so that the text and its word list are each built once per row.
+    Three selects, so that the text and its normal form are each built once per row.
     """
     fallback = F.col(fallback_impact) if fallback_impact else None
     kept = articles.columns
     with_text = articles.select("*", full_text(F.col("headline"), F.col("body")).alias("__text"))
-    with_words = with_text.select(
+    with_normal = with_text.select(
         "*",
-        words(F.col("__text")).alias("__words"),
+        normal_form(F.col("__text")).alias("__normal"),
         extract_tickers(F.col("__text")).alias("tickers"),
     )
-    return with_words.select(
+    return with_normal.select(
         *kept,
         "tickers",
         extract_sectors(F.col("tickers")).alias("sectors"),
         is_forward_looking(F.col("__text")).alias("is_forward_looking"),
-        has_negation(F.col("__words")).alias("has_negation"),
-        hedge_score(F.col("__words")).alias("hedge_score"),
+        has_negation(F.col("__normal")).alias("has_negation"),
+        hedge_score(F.col("__normal")).alias("hedge_score"),
         market_impact(F.col("headline"), fallback).alias("market_impact"),
     )
 

@@ -60,18 +60,19 @@ def moments(rows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
 # --- confusion matrix ----------------------------------------------------------------------------
 
 
+def _cell_sums() -> list[Column]:
+    """c_<truth>_<prediction> for the 3 x 3 cells, zeros included."""
+    return [
+        F.coalesce(
+            F.sum(F.when((F.col("y_true") == t) & (F.col("y_pred") == p), F.col("n"))), F.lit(0)
+        ).alias(f"c_{t}_{p}")
+        for t in _K
+        for p in _K
+    ]
+
+
 def _cells(m: DataFrame) -> DataFrame:
-    """One row: c_<truth>_<prediction> for the 3 x 3 cells, zeros included."""
-    return m.agg(
-        *[
-            F.coalesce(
-                F.sum(F.when((F.col("y_true") == t) & (F.col("y_pred") == p), F.col("n"))),
-                F.lit(0),
-            ).alias(f"c_{t}_{p}")
-            for t in _K
-            for p in _K
-        ]
-    )
+    return m.agg(*_cell_sums())
 
 
 def _cell(t: int, p: int) -> Column:
@@ -107,89 +108,80 @@ def confusion_matrix(rows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     return _cells(moments(rows, params)).select(F.inline(F.array(*cells)))
 
 
-def class_metrics(rows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Precision, recall, F1, support and share of each class; 0 where undefined."""
-    return _class_metrics(_cells(moments(rows, params)))
+def _class_columns(k: int) -> dict[str, Column]:
+    return {
+        "precision": _ratio(_cell(k, k), _predicted(k)),
+        "recall": _ratio(_cell(k, k), _support(k)),
+        "f1": _f1(k),
+        "support": _support(k),
+        "share": _ratio(_support(k), _all_cells()),
+    }
 
 
-def _class_metrics(cells: DataFrame) -> DataFrame:
+def class_metrics(rows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """Precision, recall, F1, support and share of each class; 0 where undefined."""
     per_class = [
         F.struct(
-            F.lit(k).alias("class_ix"),
-            F.lit(SENTIMENTS[k]).alias("class_name"),
-            _ratio(_cell(k, k), _predicted(k)).alias("precision"),
-            _ratio(_cell(k, k), _support(k)).alias("recall"),
-            _f1(k).alias("f1"),
-            _support(k).alias("support"),
-            _ratio(_support(k), _all_cells()).alias("share"),
+            F.lit(k).alias("class_ix"), F.lit(SENTIMENTS[k]).alias("class_name"),
+            *[c.alias(n) for n, c in _class_columns(k).items()],
         )
         for k in _K
     ]
-    return cells.select(F.inline(F.array(*per_class)))
-
-
-def f1_summary(rows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    return _f1_summary(_cells(moments(rows, params)))
+    return _cells(moments(rows, params)).select(F.inline(F.array(*per_class)))
 
 
-def _f1_summary(cells: DataFrame) -> DataFrame:
-    """Accuracy, macro (over classes that occur), micro and weighted F1; MCC and kappa."""
+def _summary_columns() -> dict[str, Column]:
     n = _all_cells()
     right = _plus([_cell(k, k) for k in _K])
     occurring = _plus([((_support(k) + _predicted(k)) > 0).cast("int") for k in _K])
-    agree = _plus([_support(k) * _predicted(k) for k in _K]).cast("double")
-    truth2 = _plus([_support(k) * _support(k) for k in _K]).cast("double")
-    pred2 = _plus([_predicted(k) * _predicted(k) for k in _K]).cast("double")
-    n2 = (n * n).cast("double")
-    spread = F.sqrt((n2 - pred2) * (n2 - truth2))
-    expected = agree / n2
-    return cells.select(
-        n.alias("n_samples"),
-        (right / n).alias("accuracy"),
-        _ratio(_plus([_f1(k) for k in _K]), occurring).alias("macro_f1"),
-        (right / n).alias("micro_f1"),
-        _ratio(_plus([_f1(k) * _support(k) for k in _K]), n).alias("weighted_f1"),
-        _ratio((right * n).cast("double") - agree, spread).alias("mcc"),
-        _ratio(right / n - expected, 1 - expected, None).alias("cohen_kappa"),
+    # Products of counts pass 2^63 long before the counts do.
+    support = [_support(k).cast("double") for k in _K]
+    predicted = [_predicted(k).cast("double") for k in _K]
+    total = n.cast("double")
+    agree = _plus([a * b for a, b in zip(support, predicted)])
+    spread = F.sqrt(
+        (total * total - _plus([a * a for a in predicted]))
+        * (total * total - _plus([a * a for a in support]))
     )
+    expected = agree / (total * total)
+    return {
+        "n_samples": n,
+        "accuracy": right / n,
+        "macro_f1": _ratio(_plus([_f1(k) for k in _K]), occurring),
+        "micro_f1": right / n,
+        "weighted_f1": _ratio(_plus([_f1(k) * _support(k) for k in _K]), n),
+        "mcc": _ratio(right * total - agree, spread),
+        "cohen_kappa": _ratio(right / n - expected, 1 - expected, None),
+    }
 
 
-# --- calibration -----------------------------------------------------------------------------------
+def f1_summary(rows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """Accuracy, macro (over classes that occur), micro and weighted F1; MCC and kappa."""
+    return _cells(moments(rows, params)).select(
+        *[c.alias(n) for n, c in _summary_columns().items()]
+    )
 
 
-def ece_bins(rows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    return _ece_bins(moments(rows, params))
+# --- calibration -----------------------------------------------------------------------------------
 
 
-def _ece_bins(m: DataFrame) -> DataFrame:
-    return m.groupBy("bin").agg(
+def ece_bins(rows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    return moments(rows, params).groupBy("bin").agg(
         F.sum("n").alias("n"),
         (F.sum("hit") / F.sum("n")).alias("accuracy"),
         (F.sum("confidence") / F.sum("n")).alias("mean_confidence"),
     )
 
 
-def _ece(m: DataFrame) -> DataFrame:
-    gap = F.abs(F.col("accuracy") - F.col("mean_confidence"))
-    return _ece_bins(m).agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"))
-
-
 def ece(rows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    return _ece(moments(rows, params))
-
-
-def _rates(m: DataFrame) -> DataFrame:
-    n = F.sum("n")
-    return m.agg(
-        (F.sum("brier") / n).alias("brier_score"),
-        (F.sum("disagree") / n).alias("ensemble_disagreement"),
-        (F.sum("uncertain") / n).alias("uncertain_fraction"),
-    )
+    return _moments_row(moments(rows, params), params).select("ece")
 
 
 def rates(rows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Brier score, disagreement rate and uncertain fraction."""
-    return _rates(moments(rows, params))
+    return _moments_row(moments(rows, params), params).select(
+        "brier_score", "ensemble_disagreement", "uncertain_fraction"
+    )
 
 
 def reliability(rows: DataFrame, class_ix: int = 0, bins: int = 10) -> DataFrame:
@@ -263,55 +255,61 @@ def _long(df: DataFrame, names: dict[str, Column]) -> DataFrame:
     return df.select(F.inline(F.array(*pairs)))
 
 
+def _moments_row(m: DataFrame, params: Params) -> DataFrame:
+    """The whole of `moments` as one row: cells, sums, and the calibration gap of each bin."""
+    n = F.sum("n")
+    gaps = []
+    for b in range(params.ece_bins):
+        here = F.col("bin") == b
+        hits = F.coalesce(F.sum(F.when(here, F.col("hit"))), F.lit(0.0))
+        sure = F.coalesce(F.sum(F.when(here, F.col("confidence"))), F.lit(0.0))
+        gaps.append(F.abs(hits - sure))
+    return m.agg(
+        *_cell_sums(),
+        (_plus(gaps) / n).alias("ece"),
+        (F.sum("brier") / n).alias("brier_score"),
+        (F.sum("disagree") / n).alias("ensemble_disagreement"),
+        (F.sum("uncertain") / n).alias("uncertain_fraction"),
+    )
+
+
 def flatten_report(rows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """The report as (metric, value): 15 overall names and 6 per class.
 
-    The branches of the union read the same `moments` and `rank_metrics` plans; their shuffles are
-    planned once and reused.
+    Three passes over the input: one for all counts and sums, one for ranks, one for latency;
+    each ends in a single row that is turned into named values.
     """
-    m = moments(rows, params)
-    cells = _cells(m)
-    ranks = rank_metrics(rows, params)
-
-    def r6(name: str) -> Column:
-        return rounded(F.col(name), 6)
-
+    row = _moments_row(moments(rows, params), params)
+    summary = _summary_columns()
     overall = ("macro_f1", "micro_f1", "weighted_f1", "mcc", "cohen_kappa", "accuracy")
-    parts = [
-        _long(
-            _f1_summary(cells),
-            {f"eval/{c}": r6(c) for c in overall} | {"eval/n_samples": F.col("n_samples")},
-        ),
-        _long(ranks.agg(F.avg("roc_auc").alias("auc")), {"eval/macro_roc_auc": r6("auc")}),
-        _long(_ece(m), {"eval/ece": r6("ece")}),
-        _long(
-            _rates(m),
-            {
-                "eval/brier_score": r6("brier_score"),
-                "eval/ensemble_disagreement": rounded(F.col("ensemble_disagreement"), 4),
-                "eval/uncertain_fraction": rounded(F.col("uncertain_fraction"), 4),
-            },
-        ),
-        _long(
-            latency_percentiles(rows, params), {f"eval/{c}": F.col(c) for c in LATENCY_POINTS}
-        ),
-    ]
-    flat = parts[0]
-    for part in parts[1:]:
-        flat = flat.unionByName(part)
-    for frame, columns in (
-        (_class_metrics(cells), ("precision", "recall", "f1", "support")),
-        (ranks, ("pr_auc", "roc_auc")),
+    named = {f"eval/{c}": rounded(summary[c], 6) for c in overall}
+    named["eval/n_samples"] = summary["n_samples"]
+    for c, places in (
+        ("ece", 6), ("brier_score", 6), ("ensemble_disagreement", 4), ("uncertain_fraction", 4)
     ):
-        pairs = [
-            F.struct(
-                F.concat(F.lit("eval/"), F.col("class_name"), F.lit(f"/{c}")).alias("metric"),
-                F.col(c).cast("double").alias("value"),
-            )
-            for c in columns
-        ]
-        flat = flat.unionByName(frame.select(F.inline(F.array(*pairs))))
-    return flat
+        named[f"eval/{c}"] = rounded(F.col(c), places)
+    for k, name in enumerate(SENTIMENTS):
+        for c, value in _class_columns(k).items():
+            if c != "share":
+                named[f"eval/{name}/{c}"] = value
+
+    curves = ("pr_auc", "roc_auc")
+    ranks = rank_metrics(rows, params).agg(
+        F.avg("roc_auc").alias("macro"),
+        *[
+            F.max(F.when(F.col("class_ix") == k, F.col(c))).alias(f"{c}_{k}")
+            for k in _K for c in curves
+        ],
+    )
+    ranked = {"eval/macro_roc_auc": rounded(F.col("macro"), 6)} | {
+        f"eval/{SENTIMENTS[k]}/{c}": F.col(f"{c}_{k}") for k in _K for c in curves
+    }
+    latency = latency_percentiles(rows, params)
+    return (
+        _long(row, named)
+        .unionByName(_long(ranks, ranked))
+        .unionByName(_long(latency, {f"eval/{c}": F.col(c) for c in LATENCY_POINTS}))
+    )
 
 
 _WIDE = (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cpus: int | str = "*", app: str = "tickerloom") -> SparkSession:
@@ -44,3 +44,13 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     base = named or spark.sparkContext.getCheckpointDir()
     return "/".join([base.rstrip("/"), "tickerloom", spark.sparkContext.applicationId, *parts])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input with fewer splits than cores.
+
+    A lone file with one row group is read by one task, however many splits it has. Inputs with
+    enough splits, as any large table has, are left as they are: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -27,7 +27,7 @@ from tickerloom.operators.rollups import (
 )
 from tickerloom.operators.scoring import predict
 from tickerloom.params import DEFAULTS, Params
-from tickerloom.session import prepare
+from tickerloom.session import prepare, spread
 from tickerloom.sources.tables import read_table, write_results
 from tickerloom.sources.topic import dead_letters, decode, decoded_articles, status
 
@@ -77,7 +77,7 @@ def enrich_stream(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # The batch feeds two sinks and the scorer: hold it for the length of this call.
-        batch = batch.persist()
+        batch = spread(batch).persist()
         try:
             articles = dd.dedup_exact(
                 decoded_articles(batch).withColumn("ordinal", F.struct("published_at", "source"))
@@ -179,7 +179,7 @@ def dedup_near_stream(
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         prepare(spark)
-        fresh = dd.dedup_exact(batch, arrival=arrival)
+        fresh = dd.dedup_exact(spread(batch), arrival=arrival)
         prints = fresh.select(
             "content_hash", arrival, ts, simhash64(F.col("headline")).alias("fp")
         ).checkpoint()
