@@ -56,11 +56,16 @@ def _both(reference: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
+def _over(part: Column, whole: Column) -> Column:
+    """A share; null where there is nothing to share."""
+    return part / F.nullif(whole, F.lit(0))
+
+
 def _psi(params: Params) -> Column:
     terms = []
     for b in range(params.psi_bins):
         r, c = (
-            F.greatest(F.col(f"{s}_bin_{b}") / F.col(f"{s}_n"), F.lit(1e-6)) for s in _SIDES
+            F.greatest(_over(F.col(f"{s}_bin_{b}"), F.col(f"{s}_n")), F.lit(1e-6)) for s in _SIDES
         )
         terms.append((c - r) * F.log(c / r))
     return _plus(terms)
@@ -68,7 +73,7 @@ def _psi(params: Params) -> Column:
 
 def _label_shares(side: str) -> list[Column]:
     total = _plus([F.col(f"{side}_label_{k}") for k in _K])
-    return [F.col(f"{side}_label_{k}") / total for k in _K]
+    return [_over(F.col(f"{side}_label_{k}"), total) for k in _K]
 
 
 def _chi2_pvalue() -> Column:

@@ -143,15 +143,15 @@ def _summary_columns() -> dict[str, Column]:
         (total * total - _plus([a * a for a in predicted]))
         * (total * total - _plus([a * a for a in support]))
     )
-    expected = agree / (total * total)
+    expected = _ratio(agree, total * total, None)
     return {
         "n_samples": n,
-        "accuracy": right / n,
+        "accuracy": _ratio(right, n, None),
         "macro_f1": _ratio(_plus([_f1(k) for k in _K]), occurring),
-        "micro_f1": right / n,
+        "micro_f1": _ratio(right, n, None),
         "weighted_f1": _ratio(_plus([_f1(k) * _support(k) for k in _K]), n),
         "mcc": _ratio(right * total - agree, spread),
-        "cohen_kappa": _ratio(right / n - expected, 1 - expected, None),
+        "cohen_kappa": _ratio(_ratio(right, n, None) - expected, 1 - expected, None),
     }
 
 
@@ -266,10 +266,14 @@ def _moments_row(m: DataFrame, params: Params) -> DataFrame:
         gaps.append(F.abs(hits - sure))
     return m.agg(
         *_cell_sums(),
-        (_plus(gaps) / n).alias("ece"),
-        (F.sum("brier") / n).alias("brier_score"),
-        (F.sum("disagree") / n).alias("ensemble_disagreement"),
-        (F.sum("uncertain") / n).alias("uncertain_fraction"),
+        _ratio(_plus(gaps), n, None).alias("ece"),
+        *[
+            _ratio(F.sum(source), n, None).alias(name)
+            for name, source in (
+                ("brier_score", "brier"), ("ensemble_disagreement", "disagree"),
+                ("uncertain_fraction", "uncertain"),
+            )
+        ],
     )
 
 
