@@ -161,7 +161,10 @@ def read_hourly(spark: SparkSession, path: str) -> DataFrame:
 def dedup_exact_stream(
     articles: DataFrame, ts: str = "ingest_ts", params: Params = DEFAULTS
 ) -> DataFrame:
-    """First arrival per hash; a hash is remembered for the window, not refreshed by copies."""
+    """First arrival per hash; a hash is remembered for the window, not refreshed by copies.
+
+    An expired hash leaves the state at the end of the batch in which the watermark passes it.
+    """
     window = f"{params.dedup_window_seconds} seconds"
     return articles.withWatermark(ts, window).dropDuplicatesWithinWatermark(["content_hash"])
 
