@@ -189,11 +189,18 @@ def _dropped_fingerprints(firsts: DataFrame, params: Params, arrival: str) -> Da
     return reduce(DataFrame.unionByName, rounds)
 
 
-def thin(prints: DataFrame, params: Params = DEFAULTS, arrival: str = "ordinal") -> DataFrame:
-    """Rows of a fingerprint table (`fp`, arrival, ...) that near de-duplication keeps."""
+def near_copies(
+    prints: DataFrame, params: Params = DEFAULTS, arrival: str = "ordinal"
+) -> DataFrame:
+    """Arrivals that near de-duplication drops from a fingerprint table (`fp`, arrival)."""
     firsts = _first_per_fingerprint(prints, arrival)
     kept = firsts.join(_dropped_fingerprints(firsts, params, arrival), "fp", "left_anti")
-    return prints.join(kept.select(arrival), arrival, "left_semi")
+    return prints.select(arrival).join(kept.select(arrival), arrival, "left_anti")
+
+
+def thin(prints: DataFrame, params: Params = DEFAULTS, arrival: str = "ordinal") -> DataFrame:
+    """Rows of a fingerprint table that near de-duplication keeps."""
+    return prints.join(near_copies(prints, params, arrival), arrival, "left_anti")
 
 
 def dedup_near(
@@ -202,10 +209,11 @@ def dedup_near(
     """Drop every article near an earlier kept one; dropped articles never drop others.
 
     Articles with the same fingerprint share their fate with the first of them, so only distinct
-    fingerprints are paired: a group of copies of any size is one node.
+    fingerprints are paired: a group of copies of any size is one node. The texts meet the list of
+    dropped arrivals, which is usually small enough for Spark to leave the texts unshuffled.
     """
-    kept = thin(fingerprints(articles, arrival), params, arrival)
-    return articles.join(kept.select(arrival), arrival, "left_semi")
+    dropped = near_copies(fingerprints(articles, arrival), params, arrival)
+    return articles.join(dropped, arrival, "left_anti")
 
 
 def dedup(articles: DataFrame, params: Params = DEFAULTS, arrival: str = "ordinal") -> DataFrame:

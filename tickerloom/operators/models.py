@@ -54,20 +54,18 @@ def with_entities(
     return raw.withColumn("entities", keep_confident(F.col("entities"), params.entity_min_score))
 
 
-def with_impact_fallback(
-    articles: DataFrame, model_fn: ImpactFn | None = None, key: str = "article_hash"
-) -> DataFrame:
-    """Add `fallback_impact`, asking the model only where no keyword decides.
+def with_impact_fallback(articles: DataFrame, model_fn: ImpactFn | None = None) -> DataFrame:
+    """Add `fallback_impact`, asking the model only where no keyword decides; null elsewhere.
 
-    The undecided rows are a branch of their own: Spark does not skip a Python function under a
-    conditional expression.
+    Spark does not skip a Python function under a conditional expression, so decided rows go to
+    Python as nulls, which cost nothing there. The step stays row-local: no join back.
     """
     if model_fn is None:
         return articles.withColumn("fallback_impact", F.lit(None).cast("string"))
 
-    def level(text: str | None) -> str:
+    def level(text: str) -> str:
         try:
-            label = model_fn(text or "")
+            label = model_fn(text)
         except Exception:
             return "unknown"
         return next((name for name in ("high", "medium") if name in label), "low")
@@ -75,8 +73,8 @@ def with_impact_fallback(
     @F.pandas_udf(T.StringType())
     def asked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(level)
+            yield batch.map(level, na_action="ignore")
 
-    undecided = articles.filter(keyword_impact(F.col("headline")).isNull())
-    answers = undecided.select(key, asked("headline").alias("fallback_impact"))
-    return articles.join(answers.dropDuplicates([key]), key, "left")
+    headline = F.col("headline")
+    undecided = F.when(keyword_impact(headline).isNull(), headline)
+    return articles.withColumn("fallback_impact", asked(undecided))

@@ -141,9 +141,7 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def impact_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    asked = mo.with_impact_fallback(
-        _keyed(spark, sf).select("doc_id", "headline"), toy.impact, key="doc_id"
-    )
+    asked = mo.with_impact_fallback(_keyed(spark, sf).select("doc_id", "headline"), toy.impact)
     impact = tx.market_impact(F.col("headline"), F.col("fallback_impact"))
     return asked.select("doc_id", impact.alias("market_impact"))
 

@@ -35,15 +35,18 @@ def append_by_date(results: DataFrame, path: str) -> None:
 def absent_only(batch: DataFrame, table: DataFrame | None) -> DataFrame:
     """Rows of a batch, one per hash (earliest published), whose hash the table does not hold.
 
-    The hash covers headline and URL but not the time, so the whole key column is compared;
-    only that one column of the table is read.
+    The hash covers headline and URL but not the time, so the whole key column is compared; only
+    that column of the table is read. The table's keys are first reduced to those of the batch:
+    a micro-batch small enough for a broadcast is then looked up without shuffling the table.
     """
     order = F.struct("published_at", "source", "url")
     first = dedup_exact(batch.withColumn("__order", order), "article_hash", "__order")
     first = first.drop("__order")
     if table is None:
         return first
-    return first.join(table.select("article_hash"), "article_hash", "left_anti")
+    keys = batch.select("article_hash")
+    present = table.select("article_hash").join(keys, "article_hash", "left_semi")
+    return first.join(present, "article_hash", "left_anti")
 
 
 def write_results(batch: DataFrame, path: str) -> None:

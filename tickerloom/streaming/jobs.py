@@ -106,7 +106,7 @@ def latest_stream(results: DataFrame, path: str, params: Params = DEFAULTS) -> D
     Rows older than the cache's time to live before the newest row expire on read.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        before = _newest_version(batch.sparkSession, path, batch_id)
+        before = _version(batch.sparkSession, path, batch_id - 1)
         merged = batch if before is None else before.select(*batch.columns).unionByName(batch)
         _write_batch(latest_cache(merged.dropDuplicates(["article_hash"]), params), path, batch_id)
 
@@ -117,18 +117,18 @@ def unexpired(cache: DataFrame, now: datetime | Column, ttl_seconds: int, column
     return cache.filter(F.col(column) >= F.lit(now) - F.make_interval(secs=F.lit(ttl_seconds)))
 
 
-def _newest_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The keyed table as the newest batch (below `before`) left it."""
-    table = read_table(spark, path)
-    if table is None:
-        return None
-    earlier = table if before is None else table.filter(F.col(_BATCH) < before)
-    newest = earlier.agg(F.max(_BATCH)).first()[0]
-    return None if newest is None else table.filter(F.col(_BATCH) == newest).drop(_BATCH)
+def _version(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """A keyed table as one batch left it. Batch numbers have no gaps; the first has none before."""
+    return read_table(spark, _batch_path(path, batch_id))
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame | None:
-    return _newest_version(spark, path)
+    """A keyed table as the newest batch left it; older versions may be removed at any time."""
+    table = read_table(spark, path)
+    if table is None:
+        return None
+    newest = table.agg(F.max(_BATCH)).first()[0]
+    return None if newest is None else _version(spark, path, newest)
 
 
 # --- hourly rollup -----------------------------------------------------------------------------------
@@ -175,9 +175,10 @@ def dedup_near_stream(
 ) -> DataStreamWriter:
     """Exact and near de-duplication against what was kept in the window.
 
-    `path/prints` holds hash, fingerprint and time of kept articles, one folder per batch, and
-    `path/kept` the articles. What came before a batch drops first, so the batch is then thinned
-    by itself; both steps together equal one pass in arrival order.
+    `path/prints` holds hash, fingerprint and time of kept articles by day and batch, so the window
+    prunes days and old days may be removed; `path/kept` holds the articles. What came before a
+    batch drops first, so the batch is then thinned by itself; both steps together equal one pass
+    in arrival order.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -191,13 +192,19 @@ def dedup_near_stream(
             horizon = prints.agg(F.min(ts)).scalar() - F.make_interval(
                 secs=F.lit(params.dedup_window_seconds)
             )
-            seen = table.filter((F.col(_BATCH) < batch_id) & (F.col(ts) >= horizon))
+            seen = table.filter(
+                (F.col(_BATCH) < batch_id) & (F.col("day") >= F.to_date(horizon))
+                & (F.col(ts) >= horizon)
+            )
             prints = dd.drop_near_seen(dd.drop_seen(prints, seen), seen, params).checkpoint()
-        kept = dd.thin(prints, params, arrival)
-        _write_batch(kept, f"{path}/prints", batch_id)
-        survivors = spark.read.parquet(_batch_path(f"{path}/prints", batch_id))
+        kept = dd.thin(prints, params, arrival).checkpoint()
+        (
+            kept.select("*", F.to_date(ts).alias("day"), F.lit(batch_id).alias(_BATCH))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("day", _BATCH).parquet(f"{path}/prints")
+        )
         _write_batch(
-            fresh.join(survivors.select(arrival), arrival, "left_semi"), f"{path}/kept", batch_id
+            fresh.join(kept.select(arrival), arrival, "left_semi"), f"{path}/kept", batch_id
         )
 
     return articles.writeStream.foreachBatch(handle)
@@ -219,7 +226,7 @@ def ticker_state_stream(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         changed = ticker_changes(batch).withColumn("updated_at", clock)
-        before = _newest_version(batch.sparkSession, path, batch_id)
+        before = _version(batch.sparkSession, path, batch_id - 1)
         if before is not None:
             changed = merge_ticker_state(before, changed, clock, params.ticker_ttl_seconds)
         _write_batch(changed, path, batch_id)
