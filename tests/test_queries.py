@@ -15,8 +15,6 @@ TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 QUERIES, ORACLE = entry_module.queries(), entry_module.oracle_sql()
-# Fits, user models and the capped fetch have tests of their own against brute force.
-ROWS_ONLY = {"calibrate_temperature", "entities", "fetch_all"}
 
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="given tables are absent")
 
@@ -37,8 +35,7 @@ def normal(value):
 
 
 def test_every_query_has_a_statement():
-    assert set(QUERIES) - set(ORACLE) == ROWS_ONLY
-    assert set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) == set(ORACLE)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -47,12 +44,11 @@ def test_query(spark, duck, name):
     columns = sorted(df.columns)
     got = sorted(tuple(normal(r[c]) for c in columns) for r in df.collect())
     assert got
-    if name in ORACLE:
-        answer = duck.execute(ORACLE[name])
-        names = [d[0] for d in answer.description]
-        assert sorted(names) == columns
-        place = [names.index(c) for c in columns]
-        assert got == sorted(tuple(normal(r[i]) for i in place) for r in answer.fetchall())
+    answer = duck.execute(ORACLE[name])
+    names = [d[0] for d in answer.description]
+    assert sorted(names) == columns
+    place = [names.index(c) for c in columns]
+    assert got == sorted(tuple(normal(r[i]) for i in place) for r in answer.fetchall())
 
 
 def test_entry(spark):

@@ -63,16 +63,29 @@ def moments(rows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
 def _cell_sums() -> list[Column]:
     """c_<truth>_<prediction> for the 3 x 3 cells, zeros included."""
     return [
-        F.coalesce(
-            F.sum(F.when((F.col("y_true") == t) & (F.col("y_pred") == p), F.col("n"))), F.lit(0)
-        ).alias(f"c_{t}_{p}")
+        F.expr(f"coalesce(sum(CASE WHEN y_true = {t} AND y_pred = {p} THEN n END), 0L)").alias(
+            f"c_{t}_{p}"
+        )
         for t in _K
         for p in _K
     ]
 
 
+def _with_margins(cells: DataFrame) -> DataFrame:
+    """Add row totals t_<k>, column totals p_<k> and the number of samples."""
+    def total(names: list[str], alias: str) -> Column:
+        return F.expr(" + ".join(names)).alias(alias)
+
+    return cells.select(
+        "*",
+        *[total([f"c_{k}_{p}" for p in _K], f"t_{k}") for k in _K],
+        *[total([f"c_{t}_{k}" for t in _K], f"p_{k}") for k in _K],
+        total([f"c_{t}_{p}" for t in _K for p in _K], "n_samples"),
+    )
+
+
 def _cells(m: DataFrame) -> DataFrame:
-    return m.agg(*_cell_sums())
+    return _with_margins(m.agg(*_cell_sums()))
 
 
 def _cell(t: int, p: int) -> Column:
@@ -80,15 +93,15 @@ def _cell(t: int, p: int) -> Column:
 
 
 def _support(k: int) -> Column:
-    return _plus([_cell(k, p) for p in _K])
+    return F.col(f"t_{k}")
 
 
 def _predicted(k: int) -> Column:
-    return _plus([_cell(t, k) for t in _K])
+    return F.col(f"p_{k}")
 
 
 def _all_cells() -> Column:
-    return _plus([_support(k) for k in _K])
+    return F.col("n_samples")
 
 
 def _f1(k: int) -> Column:
@@ -258,15 +271,13 @@ def _long(df: DataFrame, names: dict[str, Column]) -> DataFrame:
 def _moments_row(m: DataFrame, params: Params) -> DataFrame:
     """The whole of `moments` as one row: cells, sums, and the calibration gap of each bin."""
     n = F.sum("n")
-    gaps = []
-    for b in range(params.ece_bins):
-        here = F.col("bin") == b
-        hits = F.coalesce(F.sum(F.when(here, F.col("hit"))), F.lit(0.0))
-        sure = F.coalesce(F.sum(F.when(here, F.col("confidence"))), F.lit(0.0))
-        gaps.append(F.abs(hits - sure))
-    return m.agg(
+    gaps = [
+        f"abs(coalesce(sum(CASE WHEN bin = {b} THEN hit - confidence END), 0.0D))"
+        for b in range(params.ece_bins)
+    ]
+    row = m.agg(
         *_cell_sums(),
-        _ratio(_plus(gaps), n, None).alias("ece"),
+        _ratio(F.expr(" + ".join(gaps)), n, None).alias("ece"),
         *[
             _ratio(F.sum(source), n, None).alias(name)
             for name, source in (
@@ -275,6 +286,7 @@ def _moments_row(m: DataFrame, params: Params) -> DataFrame:
             )
         ],
     )
+    return _with_margins(row)
 
 
 def flatten_report(rows: DataFrame, params: Params = DEFAULTS) -> DataFrame:

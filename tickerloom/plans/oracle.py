@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from tickerloom.functions import vocab
 from tickerloom.functions.vocab import E2E_BUCKETS, PRODUCE_BUCKETS
 from tickerloom.plans.views import PHRASES
@@ -373,6 +375,26 @@ def _pick(metric: str, alias: str) -> str:
     return f"max(value) filter (metric = 'eval/{metric}') as \"{alias}\""
 
 
+def _calibration() -> list[str]:
+    """Five passes of a 17-point search for the best ln T, as the engine makes them."""
+    low, high = math.log(0.05), math.log(20.0)
+    half, centre = (high - low) / 2, f"(select {(high + low) / 2!r}::double as c)"
+    tables = [
+        "logits as (select y_true, ln(p0 + 1e-9) as z0, ln(p1 + 1e-9) as z1, ln(p2 + 1e-9) as z2 from eval_rows)"
+    ]
+    for i in range(1, 6):
+        spread = " + ".join(f"exp((z{k} - greatest(z0, z1, z2)) / exp(log_t))" for k in _K)
+        own = "case y_true when 0 then z0 when 1 then z1 else z2 end"
+        tables.append(
+            f"pass{i} as (select log_t, nll from (select log_t, "
+            f"avg(ln({spread}) + (greatest(z0, z1, z2) - {own}) / exp(log_t)) as nll "
+            f"from logits, (select c + {half!r}::double * k / 8 as log_t from {centre}, "
+            "(select unnest(range(-8, 9)) as k)) group by log_t) order by nll limit 1)"
+        )
+        half, centre = half / 8, f"(select log_t as c from pass{i})"
+    return tables
+
+
 # --- drift -------------------------------------------------------------------------------------------
 
 
@@ -464,6 +486,16 @@ prints as materialized (
 ) + """ as fp from votes)
 """
 _FP = "lpad(lower(hex({0})), 16, '0')"
+_FETCHED = """
+raw_docs as materialized (
+  select *, row_number() over (order by rank, payload_id, pos) as ordinal
+  from (select rank, payload_id, pos, source, headline, url, published_at, body, author, content_hash from newsapi
+        union all
+        select rank, payload_id, pos, source, headline, url, published_at, body, author, content_hash from rss
+        union all
+        select rank, payload_id, pos, source, headline, url,
+               published_at, body, author, content_hash from av))
+"""
 _KEPT = """
 ordered as materialized (
   select row_number() over (order by ordinal) as rn, ordinal, content_hash, fp
@@ -564,6 +596,17 @@ def oracle_sql() -> dict[str, str]:
         f"from (select content_hash, {_UP} as up, {_DOWN} as down from articles), "
         "(select unnest(range(3))::int as m)"
     )
+    q["entities"] = _art(
+        f"""select doc_id, found[i] as text, 'ORG' as entity_type, {_r('0.6e0 + 0.1e0 * length(found[i])')} as confidence,
+                   pos0::int as start_char, (pos0 + length(found[i]))::int as end_char
+            from (select doc_id, found, i, list_sum(list_transform(parts[1:i], lambda x: length(x)))
+                         + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) as pos0
+                  from (select doc_id, regexp_extract_all(headline, '[A-Z]{{2,5}}') as found,
+                               regexp_split_to_array(headline, '[A-Z]{{2,5}}') as parts,
+                               unnest(range(1, len(regexp_extract_all(headline, '[A-Z]{{2,5}}')) + 1)) as i
+                        from articles))
+            where length(found[i]) > 2"""
+    )
     q["impact_fallback"] = _art(
         f"select doc_id, coalesce({_KEYWORD}, case when contains(headline, 'names new') then 'high' "
         "else 'low' end) as market_impact from articles"
@@ -604,6 +647,17 @@ def oracle_sql() -> dict[str, str]:
         "1.0::double as temperature from articles join predicted on content_hash = article_hash",
         *predicted,
     )
+    q["enrich"] = _res(
+        f"select article_hash, headline, url, source, {_iso('published_at')} as published_at, "
+        f"{_iso('processed_at')} as processed_at, ensemble_sentiment, "
+        f"{_rs('ensemble_confidence', 'ensemble_uncertainty')}, {three}, {_rs('hedge_score')}, "
+        f"3 as model_count, 0 as entity_count, {_TK}, {_SE}, is_forward_looking, has_negation, "
+        "market_impact, is_uncertain, true as temperature_scaled from results"
+    )
+    q["insert_if_absent"] = _res(
+        "select article_hash, 1::bigint as copies, "
+        "case when source < 'src2' then 'first' else market_impact end as market_impact from results"
+    )
     # serving
     q["recent"] = _res(
         f"select {_BRIEF} from (select results.* from results, now where published_at >= as_of - interval 1 hour {_NEWEST} 500)"
@@ -754,7 +808,15 @@ def oracle_sql() -> dict[str, str]:
         "select ordinal from raw_docs where source <> 'src0' and content_hash not in "
         "(select content_hash from raw_docs where source = 'src0')", _RAW,
     )
+    q["fetch_all"] = _with(
+        f"""select source, headline, url, {_iso('published_at')} as published_at, body, author, content_hash
+            from (select d.* from walk join ordered using (rn) join raw_docs d using (ordinal) where keep
+                  order by d.published_at desc nulls last, ordinal limit 100)""",
+        _ARTICLES, _NEWSAPI, _RSS, _AV, _FETCHED, _PRINTS, _KEPT,
+    ).replace("with ", "with recursive ", 1)
     # evaluation
+    q["calibrate_temperature"] = _eva("select round_even(exp(log_t), 3) as temperature, "
+                                      "round_even(nll, 6) as nll from pass5", *_calibration())
     q["confusion"] = _eva(" union all ".join(
         f"select {t} as y_true, {p} as y_pred, c{t}{p} as n, {_r(f'c{t}{p} / greatest({_sup(t)}, 1)', 4)} as row_share from cells"
         for t in _K for p in _K), _CELLS)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,7 @@ from tickerloom.params import Params
 from tickerloom.plans import payloads as pl
 from tickerloom.plans import toymodels as toy
 from tickerloom.plans import views as vw
+from tickerloom.session import shared_dir
 from tickerloom.sources import feeds, tables, topic
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -201,6 +203,35 @@ def calibrate_temperature(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def enrich(spark: SparkSession, sf: str) -> DataFrame:
+    """Articles to result rows in one plan, without the stored table."""
+    rows = vw.enrich(vw.articles(spark, sf))
+    return rows.select(
+        "article_hash", "headline", "url", "source", _time("published_at"),
+        _time("processed_at"), "ensemble_sentiment",
+        *_r6("ensemble_confidence", "ensemble_uncertainty", *_PROBS, "hedge_score"),
+        F.size("model_predictions").alias("model_count"),
+        F.size("entities").alias("entity_count"), _joined("tickers"), _joined("sectors"),
+        "is_forward_looking", "has_negation", "market_impact", "is_uncertain",
+        "temperature_scaled",
+    )
+
+
+@query
+def insert_if_absent(spark: SparkSession, sf: str) -> DataFrame:
+    """Results of the first sources, then all results twice: one row per hash, the first wins."""
+    stored = vw.results(spark, sf).drop("published_date")
+    path = shared_dir(spark, "inserts", uuid.uuid4().hex)
+    first = stored.filter(F.col("source") < "src2").withColumn("market_impact", F.lit("first"))
+    tables.write_results(first, path)
+    tables.write_results(stored.unionByName(stored), path)
+    found = tables.read_table(spark, path)
+    return found.groupBy("article_hash").agg(
+        F.count("*").alias("copies"), F.max("market_impact").alias("market_impact")
+    )
+
+
 # --- serving -----------------------------------------------------------------------------------------
 
 

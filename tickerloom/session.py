@@ -19,6 +19,8 @@ def build_session(cpus: int | str = "*", app: str = "tickerloom") -> SparkSessio
         .config("spark.sql.files.maxPartitionBytes", "4m")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
+        # Recording a Python call site for every column operator makes plans slow to write.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )

@@ -32,27 +32,32 @@ def append_by_date(results: DataFrame, path: str) -> None:
     dated.hint("rebalance", PARTITION).write.mode("append").partitionBy(PARTITION).parquet(path)
 
 
-def absent_only(batch: DataFrame, table: DataFrame | None) -> DataFrame:
+def absent_only(
+    batch: DataFrame, table: DataFrame | None, key: str = "article_hash"
+) -> DataFrame:
     """Rows of a batch, one per hash (earliest published), whose hash the table does not hold.
 
     The hash covers headline and URL but not the time, so the whole key column is compared; only
     that column of the table is read. The table's keys are first reduced to those of the batch:
     a micro-batch small enough for a broadcast is then looked up without shuffling the table.
+    The batch is read twice; hold it where it is costly to compute.
     """
     order = F.struct("published_at", "source", "url")
-    first = dedup_exact(batch.withColumn("__order", order), "article_hash", "__order")
-    first = first.drop("__order")
+    first = dedup_exact(batch.withColumn("__order", order), key, "__order").drop("__order")
     if table is None:
         return first
-    keys = batch.select("article_hash")
-    present = table.select("article_hash").join(keys, "article_hash", "left_semi")
-    return first.join(present, "article_hash", "left_anti")
+    stored = table.select(F.col("article_hash").alias(key))
+    present = stored.join(batch.select(key), key, "left_semi")
+    return first.join(present, key, "left_anti")
 
 
 def write_results(batch: DataFrame, path: str) -> None:
     """Insert if absent; safe to repeat with the same batch."""
-    table = read_table(batch.sparkSession, path)
-    append_by_date(absent_only(batch, table), path)
+    held = batch.persist()
+    try:
+        append_by_date(absent_only(held, read_table(batch.sparkSession, path)), path)
+    finally:
+        held.unpersist()
 
 
 def flatten_for_text_store(results: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from tickerloom.operators.rollups import (
 from tickerloom.operators.scoring import predict
 from tickerloom.params import DEFAULTS, Params
 from tickerloom.session import prepare, spread
-from tickerloom.sources.tables import read_table, write_results
+from tickerloom.sources.tables import absent_only, append_by_date, read_table
 from tickerloom.sources.topic import dead_letters, decode, decoded_articles, status
 
 # Articles of a batch to (score table, pass table).
@@ -76,19 +76,20 @@ def enrich_stream(
     )
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        # The batch feeds two sinks and the scorer: hold it for the length of this call.
+        # Both are read several times below: hold them for the length of this call.
         batch = spread(batch).persist()
+        table = read_table(batch.sparkSession, f"{path}/results")
+        fresh = absent_only(decoded_articles(batch), table, "content_hash").persist()
         try:
-            articles = dd.dedup_exact(
-                decoded_articles(batch).withColumn("ordinal", F.struct("published_at", "source"))
-            ).drop("ordinal")
-            scores, passes = scorer(articles)
+            # Only articles not stored yet reach the models.
+            scores, passes = scorer(fresh)
             enriched = assemble_results(
-                articles, predict(scores, passes, params), params, processed_at=processed_at
+                fresh, predict(scores, passes, params), params, processed_at=processed_at
             )
-            write_results(enriched, f"{path}/results")
+            append_by_date(enriched, f"{path}/results")
             _write_batch(dead_letters(batch), f"{path}/dead", batch_id)
         finally:
+            fresh.unpersist()
             batch.unpersist()
 
     return counted.writeStream.foreachBatch(handle)
