@@ -65,7 +65,7 @@ def near_pairs(
     left: DataFrame,
     right: DataFrame | None = None,
     max_distance: int = DEFAULTS.near_distance,
-    hot: int = 2_048,
+    hot: int = 16_384,
 ) -> DataFrame:
     """(fp_a, fp_b, distance) for distinct fingerprints within `max_distance`; no pair is missed.
 
@@ -77,7 +77,8 @@ def near_pairs(
     by two or more rows enter the join. Where one key still gathers more than `hot` fingerprints
     (clusters of near copies), the same argument is applied once more to the bits outside the key,
     which leaves about 16 free bits: no final bucket can exceed 2^16 fingerprints however large
-    the cluster is.
+    the cluster is. The second level costs twenty rows per fingerprint, so it pays only for large
+    buckets: at about 3,000 per key, comparing within the bucket was twice as fast.
     """
     blocks = 2 * max_distance
     keep = blocks - max_distance

@@ -7,6 +7,8 @@ of external models: they are drawn from a hash of the document id.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,7 +149,8 @@ def stored_path(spark: SparkSession, sf_dir: str) -> str:
     prepare(spark)
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
-        path = shared_dir(spark, "results", sf_dir.strip("/").replace("/", "_"))
+        # A new folder each time: a write that failed half way leaves nothing to add to.
+        path = shared_dir(spark, "results", uuid.uuid4().hex)
         append_by_date(enrich(articles(spark, sf_dir)), path)
         _stored[key] = path
     return _stored[key]
