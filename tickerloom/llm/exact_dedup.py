@@ -54,11 +54,13 @@ def copy_groups(
         .join(many.select("h", "keep"), "h")
         .checkpoint()
     )
-    # The smallest text stands for the keeper where a repeated id has several.
+    # The smallest text stands for the keeper where a repeated id has several. Stored, so that the
+    # comparison below is a plain join, whose hot keys Spark can split.
     keepers = (
         members.filter(F.col("id").eqNullSafe(F.col("keep")))
         .groupBy("h")
         .agg(F.min("t").alias("keeper_text"))
+        .checkpoint()
     )
     differing = (
         members.join(keepers, "h")
