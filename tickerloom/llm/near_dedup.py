@@ -1,15 +1,16 @@
 """Near-duplicates by bottom-k sketches: inverted lists, estimate on the union, exact check.
 
-One hash function numbers the shingles of a text; the k smallest numbers are its sketch. Texts with
-similarity 0.8 or more share at least half of their sketches (but for one pair in some ten
-millions), so if the values of all sketches stand in one common order, such a pair shares a value
-within the first k - k/2 + 1 of each. Rare values come first in that order: lists stay short, and
-values that many texts hold are not listed unless a text has little else.
+One hash function numbers the shingles of a text; the k smallest numbers are its sketch. Of two texts
+with similarity 0.8 or more, each sketch holds at least c values of the other (but for one pair in
+some millions), so if the values of all sketches stand in one common order, such a pair shares a
+value within the first k - c + 1 of each. Rare values come first in that order: lists stay short,
+and values that many texts hold are not listed unless a text has little else.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,23 +19,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.llm.components import components
-from tickerloom.llm.membership import bitmap, maybe_members
+from tickerloom.llm.membership import bit_array, bitmap, in_bits, maybe_members
 from tickerloom.llm.words import Texts, mix, text_slices, words_of
 from tickerloom.session import prepare
 
+#: Standard deviations that a true pair may fall behind its expected overlap.
+_SLACK = 5.5
+
 
 @dataclass(frozen=True)
 class NearRules:
     shingle: int = 2
     percent: int = 80
     sketch: int = 64
-    #: Lists longer than this whose members still differ are cut by a second shared value.
-    long_list: int = 200
-    #: Bits that two 64-bit signatures may differ in; at similarity 0.8 they differ in 6.4 on average.
-    signature_bits: int = 22
+    #: Lists up to this length are paired at once; longer ones go through pivots first.
+    short_list: int = 16
+    #: Rounds in which each long list meets one more of its texts.
+    pivots: int = 3
     #: Cells of the fixed-size table that orders values by how many sketches hold them.
     cells: int = 1 << 18
 
+    def shared(self, n: int) -> int:
+        """Least number of values that the sketch of a set of size n holds of a similar set's sketch.
+
+        A small set is known whole. Of a larger one, at worst the other is a part of it: the sketch
+        is then a draw without return from its own set.
+        """
+        p, k = self.percent / 100, self.sketch
+        if n <= k:
+            return -(-self.percent * n // 100)
+        return max(1, math.floor(p * k - _SLACK * math.sqrt(k * p * (1 - p) * (1 - k / n))))
+
 
 def shingle_sets(texts: Texts, shingle: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle numbers of each text, below 2^63; a shorter text is one shingle."""
@@ -54,16 +69,20 @@ def shingle_sets(texts: Texts, shingle: int) -> Iterator[np.ndarray]:
         yield np.unique(own >> np.uint64(1))
 
 
-def _signature(values: np.ndarray) -> int:
-    """One bit of the smallest value in each of 64 ranges; empty ranges give 0."""
-    ranges = values >> np.uint64(57)
+RANGES = 128
+
+
+def _signature(values: np.ndarray) -> np.ndarray:
+    """Two numbers: one bit of the smallest value in each of 128 ranges; empty ranges give 0."""
+    ranges = (values >> np.uint64(56)).astype(np.int64)
     held, first = np.unique(ranges, return_index=True)
-    bits = (values[first] & np.uint64(1)) << held
-    return int(np.bitwise_or.reduce(bits)) if len(bits) else 0
+    out = np.zeros(2, dtype=np.uint64)
+    np.bitwise_or.at(out, held >> 6, (values[first] & np.uint64(1)) << (held & 63).astype(np.uint64))
+    return out
 
 
 def sketches(docs: DataFrame, rules: NearRules, id_col: str) -> DataFrame:
-    """(id, n, set_a, set_b, signature, sketch): size, 128-bit digest and sketch of each set."""
+    """(id, n, set_a, set_b, sign_a, sign_b, sketch): size, digest, signature and sketch of each set."""
     key = docs.schema[id_col].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,75 +95,136 @@ def sketches(docs: DataFrame, rules: NearRules, id_col: str) -> DataFrame:
                     signs.append(_signature(values))
                     kept.append(values[: rules.sketch].astype(np.int64))
                 pair = np.array(digest, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+                sign = np.array(signs, dtype=np.uint64).reshape(-1, 2).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column(0),
                         pa.array(size, pa.int64()),
                         pa.array(pair[:, 0]),
                         pa.array(pair[:, 1]),
-                        pa.array(np.array(signs, dtype=np.uint64).view(np.int64)),
+                        pa.array(sign[:, 0]),
+                        pa.array(sign[:, 1]),
                         pa.array(kept, pa.list_(pa.int64())),
                     ],
-                    ["id", "n", "set_a", "set_b", "signature", "sketch"],
+                    ["id", "n", "set_a", "set_b", "sign_a", "sign_b", "sketch"],
                 )
 
-    schema = f"id {key}, n long, set_a long, set_b long, signature long, sketch array<long>"
+    schema = f"id {key}, n long, set_a long, set_b long, sign_a long, sign_b long, sketch array<long>"
     return docs.select(id_col, "text").mapInArrow(make, schema)
 
 
-def _cell_counts(distinct: DataFrame, cells: int) -> np.ndarray:
+def _cell_counts(made: DataFrame, cells: int) -> np.ndarray:
     """How many sketch values fall into each cell: a table of fixed size, whatever the data."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, dtype=np.int64)
         for batch in batches:
-            values = np.asarray(batch.column(0).flatten()) % cells
-            total += np.bincount(values, minlength=cells)
+            total += np.bincount(np.asarray(batch.column(0).flatten()) % cells, minlength=cells)
         held = np.flatnonzero(total)
         for a in range(0, len(held), 1 << 16):
             part = held[a : a + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["cell", "held"])
 
-    counted = distinct.select("sketch").mapInArrow(count, "cell long, held long")
+    counted = made.select("sketch").mapInArrow(count, "cell long, held long")
     summed = counted.groupBy("cell").agg(F.sum("held").alias("held")).toPandas()
     out = np.zeros(cells, dtype=np.int32)
     out[summed["cell"].to_numpy()] = np.minimum(summed["held"].to_numpy(), 2**31 - 1)
     return out
 
 
-def _ordered(distinct: DataFrame, rules: NearRules) -> DataFrame:
-    """(rep, n, signature, prefix): leading sketch values in the common order, one more than needed."""
-    spark = distinct.sparkSession
-    table = spark.sparkContext.broadcast(_cell_counts(distinct, rules.cells))
-    key = distinct.schema["rep"].dataType.simpleString()
+def _distinct_sets(made: DataFrame, rules: NearRules) -> DataFrame:
+    """(set_a, set_b, n, rep, sign_a, sign_b, prefix), one row per distinct set that is not empty.
+
+    `prefix` has the leading sketch values in the common order, one more than a list needs.
+    """
+    table = made.sparkSession.sparkContext.broadcast(_cell_counts(made, rules.cells))
+    key = made.schema["id"].dataType.simpleString()
+    names = ["id", "n", "set_a", "set_b", "sign_a", "sign_b"]
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = table.value
         for batch in batches:
             prefixes = []
-            for n, values in zip(batch.column(1).to_pylist(), batch.column(3)):
+            for n, values in zip(batch.column(1).to_pylist(), batch.column(6)):
                 own = np.asarray(values.values)
                 ranked = own[np.lexsort((own, held[own % rules.cells]))]
-                # Least number of shared sketch values: whole sets are known up to the sketch size.
-                shared = min(-(-rules.percent * n // 100), rules.sketch // 2)
-                prefixes.append(ranked[: len(own) - shared + 2])
+                prefixes.append(ranked[: len(own) - rules.shared(n) + 2])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(prefixes, pa.list_(pa.int64())),
-                 pa.array([len(s.values) - min(-(-rules.percent * n // 100), rules.sketch // 2) + 1
-                           for n, s in zip(batch.column(1).to_pylist(), batch.column(3))], pa.int32())],
-                ["rep", "n", "signature", "prefix", "need"],
-            )
-
-    return distinct.select("rep", "n", "signature", "sketch").mapInArrow(
-        order, f"rep {key}, n long, signature long, prefix array<long>, need int"
+                [*batch.columns[:6], pa.array(prefixes, pa.list_(pa.int64()))], [*names, "prefix"]
+            )
+
+    ordered = made.select(*names, "sketch").filter("n > 0").mapInArrow(
+        order, f"id {key}, n long, set_a long, set_b long, sign_a long, sign_b long, prefix array<long>"
+    )
+    return ordered.groupBy("set_a", "set_b", "n").agg(
+        F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("sign_a", "sign_b", "prefix")]
     )
 
 
+_TEXT = ("rep", "n", "sign_a", "sign_b")
+
+
+def _postings(distinct: DataFrame, rules: NearRules) -> DataFrame:
+    """(v, rep, n, sign_a, sign_b, long) of the listed values that two or more sets may hold.
+
+    Which values those are, and which have long lists, is told by two bitmaps of fixed size, so
+    values of one set only are never shuffled with their text. A value that only seems to have a long
+    list is handled as if it had.
+    """
+    spark, key = distinct.sparkSession, distinct.schema["rep"].dataType.simpleString()
+    values = distinct.select(F.explode("prefix").alias("v"))
+    counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    counted = counted.checkpoint()
+    shared = spark.sparkContext.broadcast(bit_array(counted, "v"))
+    large = spark.sparkContext.broadcast(bit_array(counted.filter(F.col("size") > rules.short_list), "v", 25))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(4)
+            size = np.diff(np.asarray(lists.offsets))
+            value = np.asarray(lists.flatten())
+            row = np.repeat(np.arange(len(size)), size)
+            # The last value of a prefix is there for the second level only.
+            last = np.cumsum(size) - 1
+            listed = np.ones(len(value), dtype=bool)
+            listed[last[size > np.array([_needed(n, rules) for n in batch.column(1).to_pylist()], dtype=np.int64)]] = False
+            whole = value.astype(np.uint64)
+            on = np.flatnonzero(listed & in_bits(shared.value, whole))
+            take = pa.array(row[on])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(value[on]), *[batch.column(i).take(take) for i in range(4)], pa.array(in_bits(large.value, whole[on]))],
+                ["v", *_TEXT, "long"],
+            )
+
+    schema = f"v long, rep {key}, n long, sign_a long, sign_b long, long boolean"
+    return distinct.select(*_TEXT, "prefix").mapInArrow(emit, schema)
+
+
+def _needed(n: int, rules: NearRules) -> int:
+    return min(n, rules.sketch) - rules.shared(n) + 1
+
+
+def _second(frame: DataFrame, *more: str) -> DataFrame:
+    """The same rows as the other side of a pair."""
+    names = {"rep": "b", **{c: f"{c}2" for c in (*_TEXT[1:], *more)}}
+    return frame.select("v", *[F.col(c).alias(d) for c, d in names.items()])
+
+
 def _alike(rules: NearRules) -> Column:
-    """Two texts whose sizes and signatures allow the similarity; reads n, signature, n2, signature2."""
+    """Whether sizes and signatures of two texts allow the similarity.
+
+    Of m ranges that either set fills, at the least similarity a tenth differ in their bit; the more
+    the sets hold, the more ranges are filled.
+    """
     sizes = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * rules.percent
-    apart = F.bit_count(F.col("signature").bitwiseXOR(F.col("signature2")))
-    return sizes & (apart <= rules.signature_bits)
+    apart = F.bit_count(F.col("sign_a").bitwiseXOR(F.col("sign_a2"))) + F.bit_count(
+        F.col("sign_b").bitwiseXOR(F.col("sign_b2"))
+    )
+    p = rules.percent / 100
+    union = (F.col("n") + F.col("n2")) / (1 + p)
+    filled = RANGES * (1 - F.exp(-union / RANGES))
+    differ = (1 - p) / 2
+    return sizes & (apart <= differ * filled + _SLACK * F.sqrt(differ * (1 - differ) * filled) + 1)
 
 
 def _linked(rules: NearRules) -> Column:
@@ -178,77 +258,76 @@ def _verified(docs: DataFrame, pairs: DataFrame, rules: NearRules, id_col: str)
     return held.filter(_linked(rules)).select("a", "b").distinct()
 
 
-def near_links(
-    docs: DataFrame, distinct: DataFrame, rules: NearRules, id_col: str, verify: Callable | None = None
-) -> DataFrame:
+def near_links(docs: DataFrame, distinct: DataFrame, rules: NearRules, id_col: str) -> DataFrame:
     """Links (a, b) between distinct sets that join them into the same components as all links do.
 
-    First every text of a list meets the list's first text only; then lists that hold more than one
-    component are paired across components. A group of copies, however large, is thus linked by as
-    many pairs as it has members.
+    Short lists are paired at once. In long ones every text first meets a pivot only, the text whose
+    values stand in the most lists; what is then still apart meets across components. A group of
+    copies, however large, is thus linked by about as many pairs as it has members.
     """
-    ordered = _ordered(distinct, rules)
-    postings = ordered.select(
-        F.explode(F.slice("prefix", F.lit(1), F.col("need"))).alias("v"), "rep", "n", "signature"
-    )
-    heads = (
-        postings.groupBy("v")
-        .agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "n", "signature")).alias("h"))
-        .filter("size > 1")
-        .select("v", "size", F.col("h.rep").alias("hub"), F.col("h.n").alias("n2"), F.col("h.signature").alias("signature2"))
-    )
-    listed = postings.join(heads, "v").checkpoint()
-    stars = (
-        listed.filter((F.col("rep") != F.col("hub")) & _alike(rules))
-        .select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-        .distinct()
-        .checkpoint()
-    )
-    links = _verified(docs, stars, rules, id_col).checkpoint()
-    crossing = _across(ordered, listed.filter("size > 2"), components(links), rules).join(stars, ["a", "b"], "left_anti")
-    crossing = crossing.checkpoint()
-    if crossing.isEmpty():
-        return links
-    return links.union(_verified(docs, crossing, rules, id_col))
-
-
-def _across(ordered: DataFrame, listed: DataFrame, found: DataFrame, rules: NearRules) -> DataFrame:
-    """Pairs of different components that share a list and may be similar."""
-    member = listed.join(found, listed["rep"] == found["node"], "left").select(
-        "v", "rep", "n", "signature", "size", F.coalesce("component", "rep").alias("c")
+    postings = _postings(distinct, rules).checkpoint()
+    short = postings.filter("NOT long")
+    pairs = short.join(_second(short), "v").filter((F.col("rep") < F.col("b")) & _alike(rules))
+    pairs = pairs.select(F.col("rep").alias("a"), "b")
+    lists = postings.filter("long").drop("long")
+    sizes = lists.groupBy("v").agg(F.count(F.lit(1)).alias("size"))
+    weight = lists.join(sizes, "v").groupBy("rep").agg(F.sum("size").alias("weight"))
+    lists = lists.join(weight.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).drop("r").checkpoint()
+    pairs = pairs.union(_met(lists, F.struct("weight", *_TEXT), rules)).distinct().checkpoint()
+    links = _verified(docs, pairs, rules, id_col).checkpoint()
+    for step in range(rules.pivots):
+        lists = _apart(lists, components(links)).checkpoint()
+        if lists.isEmpty():
+            return links
+        few = lists.filter(F.col("crossing") <= 8 * F.col("size"))
+        lists = lists.filter(F.col("crossing") > 8 * F.col("size")).select("v", *_TEXT, "weight", "c")
+        if step == rules.pivots - 1:
+            pairs = _crossed(few, rules).union(_crossed(_split(lists, distinct), rules))
+        else:
+            other = F.struct(F.xxhash64("rep", F.lit(step)).alias("weight"), *_TEXT)
+            pairs = _crossed(few, rules).union(_met(lists, other, rules))
+        pairs = pairs.distinct().checkpoint()
+        links = links.union(_verified(docs, pairs, rules, id_col)).checkpoint()
+        lists = lists.drop("c")
+    return links
+
+
+def _met(lists: DataFrame, rank: Column, rules: NearRules) -> DataFrame:
+    """Pairs (a, b) of each list's first text by rank with its others, where they may be similar."""
+    heads = lists.groupBy("v").agg(F.max(rank).alias("h")).select(
+        "v", F.col("h.rep").alias("b"), *[F.col(f"h.{c}").alias(f"{c}2") for c in _TEXT[1:]]
     )
-    mixed = member.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("v")
-    member = member.join(mixed, "v", "left_semi").checkpoint()
-    long_lists = member.filter(F.col("size") > rules.long_list)
-    parts = [_crossed(member.filter(F.col("size") <= rules.long_list), rules)]
-    if not long_lists.isEmpty():
-        # The next value, in order, that both texts hold: a pair with enough in common has one.
-        rest = ordered.select(
-            F.col("rep").alias("r"), F.posexplode("prefix").alias("place", "w")
-        )
-        at = ordered.select(F.col("rep").alias("q"), F.posexplode("prefix").alias("from", "u"))
-        finer = (
-            long_lists.join(at, (F.col("rep") == F.col("q")) & (F.col("v") == F.col("u")))
-            .join(rest, (F.col("rep") == F.col("r")) & (F.col("place") > F.col("from")))
-            .select(F.xxhash64("v", "w").alias("v"), "rep", "n", "signature", "size", "c")
-        )
-        mixed = finer.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("v")
-        parts.append(_crossed(finer.join(mixed, "v", "left_semi"), rules))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out.distinct()
-
-
-def _crossed(member: DataFrame, rules: NearRules) -> DataFrame:
-    other = member.select(
-        "v", F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("signature").alias("signature2"), F.col("c").alias("c2")
+    met = lists.join(heads, "v").filter((F.col("rep") != F.col("b")) & _alike(rules))
+    return met.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
+
+
+def _apart(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of lists with more than one component, with c, the list's size and its crossing pairs."""
+    member = lists.join(found, lists["rep"] == found["node"], "left").withColumn("c", F.coalesce("component", "rep"))
+    member = member.drop("node", "component")
+    held = member.groupBy("v", "c").agg(F.count(F.lit(1)).alias("k"))
+    held = held.groupBy("v").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("same"))
+    held = held.withColumn("crossing", (F.col("size") * F.col("size") - F.col("same")) / 2).filter("crossing > 0")
+    return member.join(held.drop("same"), "v")
+
+
+def _split(lists: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Lists of two values: the list's own and the next, in order, that two similar texts share."""
+    prefix = distinct.select(F.col("rep").alias("q"), "prefix")
+    later = lists.join(prefix, F.col("rep") == F.col("q")).withColumn(
+        "w", F.explode(F.slice("prefix", F.array_position("prefix", F.col("v")).cast("int") + 1, F.size("prefix")))
     )
-    return (
-        member.join(other, "v")
-        .filter((F.col("rep") < F.col("b")) & (F.col("c") != F.col("c2")) & _alike(rules))
-        .select(F.col("rep").alias("a"), "b")
+    finer = later.select(F.xxhash64("v", "w").alias("v"), *_TEXT, "weight", "c")
+    mixed = finer.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("v")
+    return finer.join(mixed, "v", "left_semi")
+
+
+def _crossed(lists: DataFrame, rules: NearRules) -> DataFrame:
+    """Pairs (a, b) of different components in one list that may be similar."""
+    pairs = lists.join(_second(lists, "c"), "v").filter(
+        (F.col("rep") < F.col("b")) & (F.col("c") != F.col("c2")) & _alike(rules)
     )
+    return pairs.select(F.col("rep").alias("a"), "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", rules: NearRules = NearRules()) -> DataFrame:
@@ -263,11 +342,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", rules: NearRules =
     own = docs.filter(F.col(id_col).isNotNull())
     made = sketches(docs, rules, id_col).checkpoint()
     shared = ["set_a", "set_b", "n"]
-    filled = made.filter("n > 0")
-    reps = filled.groupBy(*shared).agg(
-        F.min("id").alias("rep"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")
-    )
-    reps = reps.checkpoint()
+    reps = _distinct_sets(made, rules).checkpoint()
     links = near_links(own, reps.filter("rep IS NOT NULL"), rules, id_col)
     found = components(links)
     classes = reps.select(*shared, "rep").join(found, F.col("rep") == F.col("node"), "left")
