@@ -41,16 +41,16 @@ def maybe_members(df: DataFrame, key: Column, bits: DataFrame, absent: bool = Fa
     return joined.filter(~inside if absent else inside).drop("__at", "__bit", "__s", "__mask")
 
 
-#: Bits of the bitmap that numpy code reads: 16 MB as one bit each.
-ARRAY_BITS = 27
+#: The bitmap that numpy code reads has 2^25 bits, 4 MB. More keys call for more.
+ARRAY_BITS = 25
 
 
 def bit_array(keys: DataFrame, name: str, bits: int = ARRAY_BITS) -> np.ndarray:
     """The same for code that looks keys up in arrays: 2^bits bits, read by `in_bits`.
 
-    The driver receives at most 2^(bits - 6) rows of eight bytes, whatever the number of keys.
+    Keys are longs whose low bits are spread evenly. The driver receives at most 2^(bits - 6) rows of eight bytes, whatever the number of keys.
     """
-    place = F.shiftrightunsigned(F.col(name), 64 - bits)
+    place = F.col(name).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
     words = keys.select(
         F.shiftright(place, 6).cast("int").alias("w"),
         F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("m"),
@@ -61,5 +61,5 @@ def bit_array(keys: DataFrame, name: str, bits: int = ARRAY_BITS) -> np.ndarray:
 
 
 def in_bits(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = keys >> np.uint64(64 - (len(table).bit_length() + 5))
+    place = keys & np.uint64(64 * len(table) - 1)
     return (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
