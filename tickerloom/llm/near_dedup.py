@@ -34,8 +34,8 @@ class NearRules:
     sketch: int = 64
     #: Lists up to this length are paired at once; longer ones go through pivots first.
     short_list: int = 16
-    #: Rounds in which each long list meets one more of its texts.
-    pivots: int = 3
+    #: Lists longer than this are cut by a second shared value before their texts meet.
+    split_list: int = 10_000
     #: Cells of the fixed-size table that orders values by how many sketches hold them.
     cells: int = 1 << 18
 
@@ -239,11 +239,11 @@ def _linked(rules: NearRules) -> Column:
     return likely & (shared * 100 >= whole * rules.percent)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, rules: NearRules, id_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; only texts in pairs are hashed again."""
+def _full_sets(docs: DataFrame, ids: DataFrame, rules: NearRules, id_col: str) -> DataFrame:
+    """(id, s array<long>) of the texts with the given ids; only those are hashed again."""
     key = docs.schema[id_col].dataType.simpleString()
-    ids = pairs.select("a").union(pairs.select("b")).distinct()
-    bits = bitmap(ids, F.col("a")).checkpoint()
+    ids = ids.toDF("wanted")
+    bits = bitmap(ids, F.col("wanted")).checkpoint()
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,8 +252,14 @@ def _verified(docs: DataFrame, pairs: DataFrame, rules: NearRules, id_col: str)
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
     chosen = maybe_members(docs.select(id_col, "text"), F.col(id_col), bits)
-    sets = chosen.mapInArrow(full, f"id {key}, s array<long>").join(ids, F.col("id") == F.col("a"), "left_semi")
-    sets = sets.checkpoint()
+    sets = chosen.mapInArrow(full, f"id {key}, s array<long>")
+    return sets.join(ids, F.col("id") == F.col("wanted"), "left_semi")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, rules: NearRules, id_col: str) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    ids = pairs.select("a").union(pairs.select("b")).distinct()
+    sets = _full_sets(docs, ids, rules, id_col).checkpoint()
     held = pairs.join(sets.toDF("a", "s1"), "a").join(sets.toDF("b", "s2"), "b")
     return held.filter(_linked(rules)).select("a", "b").distinct()
 
@@ -261,9 +267,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, rules: NearRules, id_col: str)
 def near_links(docs: DataFrame, distinct: DataFrame, rules: NearRules, id_col: str) -> DataFrame:
     """Links (a, b) between distinct sets that join them into the same components as all links do.
 
-    Short lists are paired at once. In long ones every text first meets a pivot only, the text whose
-    values stand in the most lists; what is then still apart meets across components. A group of
-    copies, however large, is thus linked by about as many pairs as it has members.
+    Short lists are paired at once. In a long one every text first meets a pivot, the text whose
+    values stand in the most lists, which links a group of copies by as many pairs as it has members.
+    Texts still apart are told from each other in two ways: those around one pivot by the leading
+    values of their full sets, others by signature.
     """
     postings = _postings(distinct, rules).checkpoint()
     short = postings.filter("NOT long")
@@ -272,43 +279,83 @@ def near_links(docs: DataFrame, distinct: DataFrame, rules: NearRules, id_col: s
     lists = postings.filter("long").drop("long")
     sizes = lists.groupBy("v").agg(F.count(F.lit(1)).alias("size"))
     weight = lists.join(sizes, "v").groupBy("rep").agg(F.sum("size").alias("weight"))
-    lists = lists.join(weight.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).drop("r").checkpoint()
-    pairs = pairs.union(_met(lists, F.struct("weight", *_TEXT), rules)).distinct().checkpoint()
-    links = _verified(docs, pairs, rules, id_col).checkpoint()
-    for step in range(rules.pivots):
-        lists = _apart(lists, components(links)).checkpoint()
-        if lists.isEmpty():
-            return links
-        few = lists.filter(F.col("crossing") <= 8 * F.col("size"))
-        lists = lists.filter(F.col("crossing") > 8 * F.col("size")).select("v", *_TEXT, "weight", "c")
-        if step == rules.pivots - 1:
-            pairs = _crossed(few, rules).union(_crossed(_split(lists, distinct), rules))
-        else:
-            other = F.struct(F.xxhash64("rep", F.lit(step)).alias("weight"), *_TEXT)
-            pairs = _crossed(few, rules).union(_met(lists, other, rules))
-        pairs = pairs.distinct().checkpoint()
-        links = links.union(_verified(docs, pairs, rules, id_col)).checkpoint()
-        lists = lists.drop("c")
-    return links
-
-
-def _met(lists: DataFrame, rank: Column, rules: NearRules) -> DataFrame:
-    """Pairs (a, b) of each list's first text by rank with its others, where they may be similar."""
-    heads = lists.groupBy("v").agg(F.max(rank).alias("h")).select(
-        "v", F.col("h.rep").alias("b"), *[F.col(f"h.{c}").alias(f"{c}2") for c in _TEXT[1:]]
+    lists = _around_pivots(lists.join(weight, "rep"), rules).checkpoint()
+    met = lists.filter(F.col("near") & (F.col("rep") != F.col("pivot")))
+    met = met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
+    links = _verified(docs, pairs.union(met).distinct().checkpoint(), rules, id_col).checkpoint()
+    found = components(links).checkpoint()
+    lists = _apart(lists, found).checkpoint()
+    if lists.isEmpty():
+        return links
+    direct = lists.filter(F.col("size") <= rules.split_list)
+    split = _split(lists.filter(F.col("size") > rules.split_list), distinct)
+    far = _crossed(direct, rules).union(_crossed(split, rules)).distinct().checkpoint()
+    around = lists.filter("near").groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
+    inner = lists.filter("near").join(around, "v", "left_semi").select("rep", "c").distinct().checkpoint()
+    links = links.union(_verified(docs, far, rules, id_col))
+    return links.union(_linked_by_prefix(docs, inner, rules, id_col)).checkpoint()
+
+
+def _around_pivots(lists: DataFrame, rules: NearRules) -> DataFrame:
+    """Each row with its list's pivot and whether the text may be similar to it."""
+    heads = lists.groupBy("v").agg(F.max(F.struct("weight", *_TEXT)).alias("h")).select(
+        "v", F.col("h.rep").alias("pivot"), *[F.col(f"h.{c}").alias(f"{c}2") for c in _TEXT[1:]]
     )
-    met = lists.join(heads, "v").filter((F.col("rep") != F.col("b")) & _alike(rules))
-    return met.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
+    return lists.join(heads, "v").select("v", *_TEXT, "pivot", _alike(rules).alias("near"))
 
 
 def _apart(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of lists with more than one component, with c, the list's size and its crossing pairs."""
+    """Rows of lists with more than one component, with component c and the list's size."""
     member = lists.join(found, lists["rep"] == found["node"], "left").withColumn("c", F.coalesce("component", "rep"))
-    member = member.drop("node", "component")
-    held = member.groupBy("v", "c").agg(F.count(F.lit(1)).alias("k"))
-    held = held.groupBy("v").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("same"))
-    held = held.withColumn("crossing", (F.col("size") * F.col("size") - F.col("same")) / 2).filter("crossing > 0")
-    return member.join(held.drop("same"), "v")
+    held = member.groupBy("v").agg(
+        F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")
+    ).filter("lo <> hi")
+    return member.drop("node", "component").join(held.drop("lo", "hi"), "v")
+
+
+def _linked_by_prefix(docs: DataFrame, chosen: DataFrame, rules: NearRules, id_col: str) -> DataFrame:
+    """Links (a, b) across components c among the chosen (rep, c), from their full sets.
+
+    With all values of a set in one order, two sets of sizes n and m that share enough have a common
+    value so early in both that what stands behind it can still make up the overlap. Texts changed in
+    different places do not.
+    """
+    key = chosen.schema["rep"].dataType.simpleString()
+    sets = _full_sets(docs, chosen.select("rep"), rules, id_col).join(chosen, F.col("id") == F.col("rep"))
+    sets = sets.select("rep", "c", "s").checkpoint()
+    cells = _cell_counts(sets.select(F.col("s").alias("sketch")), rules.cells)
+    table = sets.sparkSession.sparkContext.broadcast(cells)
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, place, value, size = [], [], [], []
+            for i, values in enumerate(batch.column(2)):
+                own = np.asarray(values.values)
+                n = len(own)
+                first = own[np.lexsort((own, table.value[own % rules.cells]))][: n + rules.percent * n // -100 + 1]
+                value.append(first)
+                place.append(np.arange(len(first)))
+                row.append(np.full(len(first), i))
+                size.append(np.full(len(first), n))
+            row, place, value, size = (np.concatenate(x) for x in (row, place, value, size))
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(value), batch.column(0).take(take), batch.column(1).take(take), pa.array(size), pa.array(place)],
+                ["v", "rep", "c", "n", "i"],
+            )
+
+    led = sets.mapInArrow(lead, f"v long, rep {key}, c {key}, n long, i long")
+    held = led.groupBy("v", "c").agg(F.count(F.lit(1)).alias("k"))
+    most = held.groupBy("v").agg(F.max(F.struct("k", "c")).alias("most"), F.count(F.lit(1)).alias("cs")).filter("cs > 1")
+    led = led.join(most.select("v", F.col("most.c").alias("main")), "v").checkpoint()
+    # Two texts of a list's main component need no link, so one of a pair is always outside of it.
+    other = led.select("v", F.col("rep").alias("b"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("i").alias("i2"))
+    behind = F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2"))
+    enough = behind * (100 + rules.percent) >= (F.col("n") + F.col("n2")) * rules.percent
+    pairs = led.filter("c <> main").join(other, "v").filter((F.col("c") != F.col("c2")) & enough)
+    pairs = pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+    full = sets.select("rep", "s")
+    return pairs.join(full.toDF("a", "s1"), "a").join(full.toDF("b", "s2"), "b").filter(_linked(rules)).select("a", "b").distinct()
 
 
 def _split(lists: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -317,15 +364,15 @@ def _split(lists: DataFrame, distinct: DataFrame) -> DataFrame:
     later = lists.join(prefix, F.col("rep") == F.col("q")).withColumn(
         "w", F.explode(F.slice("prefix", F.array_position("prefix", F.col("v")).cast("int") + 1, F.size("prefix")))
     )
-    finer = later.select(F.xxhash64("v", "w").alias("v"), *_TEXT, "weight", "c")
+    finer = later.select(F.xxhash64("v", "w").alias("v"), *_TEXT, "near", "c")
     mixed = finer.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("v")
     return finer.join(mixed, "v", "left_semi")
 
 
 def _crossed(lists: DataFrame, rules: NearRules) -> DataFrame:
-    """Pairs (a, b) of different components in one list that may be similar."""
-    pairs = lists.join(_second(lists, "c"), "v").filter(
-        (F.col("rep") < F.col("b")) & (F.col("c") != F.col("c2")) & _alike(rules)
+    """Pairs (a, b) of different components in one list that may be similar, not both near its pivot."""
+    pairs = lists.join(_second(lists, "c", "near"), "v").filter(
+        (F.col("rep") < F.col("b")) & (F.col("c") != F.col("c2")) & ~(F.col("near") & F.col("near2")) & _alike(rules)
     )
     return pairs.select(F.col("rep").alias("a"), "b")
 
