@@ -218,17 +218,20 @@ def redact(docs: DataFrame, rules: EntropyRules = EntropyRules(), mark: str = "[
         tail = F.substring(text, state["end"] + 1, F.char_length(text))
         return F.concat(F.array_join(state["out"], ""), tail)
 
-    spans = F.col("__spans")
+    # Two working columns, under names that the table does not have.
+    taken = max(map(len, docs.columns), default=0)
+    held, made = "s" * (taken + 1), "t" * (taken + 1)
+    spans = F.col(held)
     changed = F.when(F.size(spans) > 0, F.aggregate(spans, opened, step, close)).otherwise(text)
-    out = docs.withColumn("__spans", secret_spans(text, rules)).withColumn("__new", changed)
+    out = docs.withColumn(held, secret_spans(text, rules)).withColumn(made, changed)
     columns = []
     for name in docs.columns:
         if name == "text":
-            columns.append(F.col("__new").alias("text"))
+            columns.append(F.col(made).alias("text"))
         elif name == "n_chars":
             kind = docs.schema[name].dataType
             columns.append(
-                F.when(F.size("__spans") > 0, F.char_length("__new").cast(kind)).otherwise(F.col(name)).alias(name)
+                F.when(F.size(held) > 0, F.char_length(made).cast(kind)).otherwise(F.col(name)).alias(name)
             )
         else:
             columns.append(F.col(f"`{name}`"))
