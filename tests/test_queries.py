@@ -8,13 +8,18 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as entry_module  # noqa: E402
+from tickerloom.plans.oracle import oracle_sql  # noqa: E402
+from tickerloom.plans.registry import all_queries  # noqa: E402
 
 SF = Path("/root/testdata/sf0.001")
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
-QUERIES, ORACLE = entry_module.queries(), entry_module.oracle_sql()
+ALL_QUERIES, ALL_STATEMENTS = entry_module.queries(), entry_module.oracle_sql()
+# Those of the optional subpackage have their own tests.
+QUERIES = all_queries()
+ORACLE = oracle_sql()
 
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="given tables are absent")
 
@@ -36,6 +41,7 @@ def normal(value):
 
 def test_every_query_has_a_statement():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(ALL_QUERIES) and set(ORACLE) <= set(ALL_STATEMENTS)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
