@@ -53,7 +53,7 @@ class WordTokens:
     tokenizer as a whole. What is known is forgotten when it passes `most` strings.
     """
 
-    def __init__(self, tokenizer_json: str, most: int = 1_000_000):
+    def __init__(self, tokenizer_json: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(tokenizer_json)

@@ -251,7 +251,7 @@ class PieceCoder:
     so decoding returns every text unchanged.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 500_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 400_000):
         inner = [p for p in vocabulary.text if b" " in p.lstrip(b" ")]
         self.by_segment = not inner
         self._vocabulary, self._most = vocabulary, most
