@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLOCK = 64
-
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with the value computed once, also where the body is applied per element."""
@@ -19,22 +17,24 @@ def running(values: Column, zero: Column, add: Callable[[Column, Column], Column
     """Totals before each element and, last, over all: one element longer than the input.
 
     Two levels: totals of blocks first, then inside each block. Plain folding into a growing array
-    would copy it once per element.
+    would copy it once per element. The cube root of the length is the block size with the least work.
     """
     fold = lambda part, start: F.aggregate(part, start, add)
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor(F.size(values) / BLOCK).cast("int")),
-        lambda b: fold(F.slice(values, b * BLOCK + 1, BLOCK), zero),
-    )
-    block_starts = lambda totals: F.transform(
-        F.sequence(F.lit(0), F.size(totals) - 1), lambda b: fold(F.slice(totals, F.lit(1), b), zero)
-    )
-
-    def inside(start: Column, b: Column) -> Column:
-        size = F.least(F.lit(BLOCK), F.size(values) + 1 - b * BLOCK)
-        return F.transform(
-            F.slice(F.array(*[F.lit(i) for i in range(BLOCK)]), F.lit(1), size),
-            lambda i: fold(F.slice(values, b * BLOCK + 1, i), start),
+    size = F.size(values)
+
+    def blocked(block: Column) -> Column:
+        totals = F.transform(
+            F.sequence(F.lit(0), F.floor(size / block).cast("int")),
+            lambda b: fold(F.slice(values, b * block + 1, block), zero),
+        )
+        starts = lambda t: F.transform(
+            F.sequence(F.lit(0), F.size(t) - 1), lambda b: fold(F.slice(t, F.lit(1), b), zero)
         )
 
-    return F.flatten(F.transform(let(blocks, block_starts), inside))
+        def inside(start: Column, b: Column) -> Column:
+            last = F.least(block, size + 1 - b * block) - 1
+            return F.transform(F.sequence(F.lit(0), last), lambda i: fold(F.slice(values, b * block + 1, i), start))
+
+        return F.flatten(F.transform(let(totals, starts), inside))
+
+    return let(F.greatest(F.ceil(F.cbrt(size)).cast("int"), F.lit(2)), blocked)

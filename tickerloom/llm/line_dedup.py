@@ -78,9 +78,9 @@ def _variants(words: Column) -> Column:
             )
             return F.concat(F.array(whole), dropped)
 
-        return let(running(moved, zero, xor), build)
+        return let(let(moved, lambda m: running(m, zero, xor)), build)
 
-    return let(running(here, zero, xor), listed)
+    return let(let(here, lambda h: running(h, zero, xor)), listed)
 
 
 def within_one_word(a: Column, b: Column) -> Column:

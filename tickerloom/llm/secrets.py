@@ -80,7 +80,7 @@ def _spans(text: Column, pattern: str, kind: int, possible: Column, keep) -> Col
                 m.alias("m"),
             ),
         )
-        chosen = F.filter(let(running(lengths, F.lit(0), lambda a, b: a + b), listed), lambda s: keep(s["m"]))
+        chosen = F.filter(let(let(lengths, lambda x: running(x, F.lit(0), lambda a, b: a + b)), listed), lambda s: keep(s["m"]))
         return F.transform(chosen, lambda s: F.struct(s["start"], s["kind"], s["end"]))
 
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
