@@ -13,14 +13,15 @@ _TINY = 1e-9
 
 
 def rounded(value: Column, places: int) -> Column:
-    """Half-to-even, as Python and numpy round."""
+    """Half-to-even on the decimal text. Python rounds the binary value: 2.675 is 2.68 here, 2.67 there."""
     return F.bround(value, places)
 
 
 def argmax3(p0: Column, p1: Column, p2: Column) -> Column:
-    """Index of the largest probability; ties go to the lowest index."""
+    """Index of the largest probability; ties go to the lowest index; null if one is unknown."""
     return (
-        F.when((p0 >= p1) & (p0 >= p2), F.lit(0))
+        F.when(p0.isNull() | p1.isNull() | p2.isNull(), F.lit(None).cast("int"))
+        .when((p0 >= p1) & (p0 >= p2), F.lit(0))
         .when(p1 >= p2, F.lit(1))
         .otherwise(F.lit(2))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tickerloom.functions.probability import bin_index, rounded
 from tickerloom.functions.vocab import SENTIMENTS
 from tickerloom.operators.ordering import value_at_rank
-from tickerloom.operators.results import recent
+from tickerloom.operators.results import recent, since
 from tickerloom.params import DEFAULTS, Params
 
 _SIDES = ("ref", "cur")
@@ -167,6 +167,10 @@ def drift_report(
     return _report(_profile(_both(reference, current), params), params, checked_at)
 
 
+def _window(results: DataFrame, as_of: datetime | Column, hours: int, most: int | None) -> DataFrame:
+    return since(results, as_of, hours) if most is None else recent(results, as_of, hours, most)
+
+
 def drift_check(
     results: DataFrame,
     as_of: datetime | Column,
@@ -176,15 +180,21 @@ def drift_check(
     exclude_current: bool = False,
     min_reference: int = 50,
     min_current: int = 10,
+    newest_current: int | None = None,
+    newest_reference: int | None = None,
 ) -> DataFrame:
-    """Newest 500 of the last hour against newest 2000 of the last day; no row if either is thin."""
-    current = recent(results, as_of, lookback_hours, 500)
+    """The last hour against the last day; no row if either is thin.
+
+    All rows of both windows are compared, in one aggregate. `newest_current` and `newest_reference`
+    ask for so many of the newest rows instead.
+    """
+    current = _window(results, as_of, lookback_hours, newest_current)
     base = results
     if exclude_current:
         base = base.filter(
             F.col("published_at") < F.lit(as_of) - F.make_interval(hours=F.lit(lookback_hours))
         )
-    reference = recent(base, as_of, reference_hours, 2_000)
+    reference = _window(base, as_of, reference_hours, newest_reference)
     checked_at = as_of if isinstance(as_of, Column) else F.lit(as_of)
     report = drift_report(reference, current, params, checked_at)
     return report.filter(

@@ -449,6 +449,10 @@ def _drift(ref: str, cur: str) -> tuple[str, ...]:
 _BY_IMPACT = _drift("results where market_impact <> 'high'", "results where market_impact = 'high'")
 _BY_SURE = _drift("results where ensemble_confidence <= 0.5", "results where ensemble_confidence > 0.5")
 _CHECK = _drift(
+    "(select results.* from results, now where published_at >= as_of - interval 24 hour)",
+    "(select results.* from results, now where published_at >= as_of - interval 1 hour)",
+)
+_CHECK_CAPPED = _drift(
     f"(select results.* from results, now where published_at >= as_of - interval 24 hour {_NEWEST} 2000)",
     f"(select results.* from results, now where published_at >= as_of - interval 1 hour {_NEWEST} 500)",
 )
@@ -856,8 +860,9 @@ def oracle_sql() -> dict[str, str]:
     q["drift_metrics"] = _res(" union all ".join(
         f"select 'drift/{m}' as metric, {c} as value, case when is_drifting then alerts end as drift_alert from report"
         for m, c in (("psi", "psi_confidence"), ("js", "js_divergence"), ("chi2_pvalue", "chi2_pvalue"))), *_BY_SURE)
-    q["drift_check"] = _res(
-        "select * from report where reference_rows >= 50 and current_rows >= 10", *_CHECK)
+    thick = "select * from report where reference_rows >= 50 and current_rows >= 10"
+    q["drift_check"] = _res(thick, *_CHECK)
+    q["drift_check_capped"] = _res(thick, *_CHECK_CAPPED)
     q["drift_split_half"] = _res("select * from report", _HALVED, *_HALVES)
     # sources
     q["normalize_newsapi"] = _with(f"select {_ROW} from newsapi", _ARTICLES, _NEWSAPI)

@@ -656,6 +656,12 @@ def drift_check(spark: SparkSession, sf: str) -> DataFrame:
     return _alerts(dr.drift_check(stored, vw.as_of(stored)))
 
 
+@query
+def drift_check_capped(spark: SparkSession, sf: str) -> DataFrame:
+    stored = vw.results(spark, sf)
+    return _alerts(dr.drift_check(stored, vw.as_of(stored), newest_current=500, newest_reference=2_000))
+
+
 @query
 def drift_metrics(spark: SparkSession, sf: str) -> DataFrame:
     stored = vw.results(spark, sf)

@@ -22,6 +22,8 @@ def build_session(cpus: int | str = "*", app: str = "tickerloom") -> SparkSessio
         # Recording a Python call site for every column operator makes plans slow to write.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
+        # Checkpoint files go when nothing refers to them any more.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
