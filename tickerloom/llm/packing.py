@@ -62,37 +62,31 @@ class WordTokens:
         self._forget()
 
     def _forget(self) -> None:
-        self._place: dict[int, int] = {}
+        # Sorted keys with the place of their ids: a few bytes a string, where a dict takes over a hundred.
+        self._keys = np.zeros(0, dtype=np.uint64)
+        self._begin = np.zeros(0, dtype=np.int64)
+        self._size = np.zeros(0, dtype=np.int64)
         self._ids = np.zeros(1 << 16, dtype=np.uint32)
-        self._begin = np.zeros(1 << 16, dtype=np.int64)
-        self._size = np.zeros(1 << 16, dtype=np.int64)
         self._used = 0
 
-    @staticmethod
-    def _grown(array: np.ndarray, least: int) -> np.ndarray:
-        if least <= len(array):
-            return array
-        out = np.zeros(max(least, 2 * len(array)), dtype=array.dtype)
-        out[: len(array)] = array
-        return out
-
-    def _learn(self, keys: list[int], strings: list[bytes]) -> None:
+    def _learn(self, keys: np.ndarray, strings: list[bytes]) -> None:
         tokenize, letters = self._tokenizer.model.tokenize, self._letters
         found = [
             [t.id for t in tokenize(s.decode() if s.isascii() and s.isalnum() else "".join(letters[b] for b in s))]
             for s in strings
         ]
         sizes = np.array([len(f) for f in found], dtype=np.int64)
-        n, total = len(self._place), int(sizes.sum())
-        self._ids = self._grown(self._ids, self._used + total)
-        self._begin = self._grown(self._begin, n + len(keys))
-        self._size = self._grown(self._size, n + len(keys))
-        self._ids[self._used : self._used + total] = [i for f in found for i in f]
-        ends = self._used + np.cumsum(sizes)
-        self._begin[n : n + len(keys)] = ends - sizes
-        self._size[n : n + len(keys)] = sizes
-        self._used += total
-        self._place.update(zip(keys, range(n, n + len(keys))))
+        until = self._used + int(sizes.sum())
+        if until > len(self._ids):
+            grown = np.zeros(max(until, 2 * len(self._ids)), dtype=np.uint32)
+            grown[: self._used] = self._ids[: self._used]
+            self._ids = grown
+        self._ids[self._used : until] = [i for f in found for i in f]
+        at = np.searchsorted(self._keys, keys)
+        self._keys = np.insert(self._keys, at, keys)
+        self._begin = np.insert(self._begin, at, self._used + np.cumsum(sizes) - sizes)
+        self._size = np.insert(self._size, at, sizes)
+        self._used = until
 
     def encode(self, texts: Texts) -> list[np.ndarray]:
         """Ids of each text."""
@@ -124,13 +118,16 @@ class WordTokens:
         start, end = _runs(data, texts.offsets)
         key = span_hashes(byte_values()[data], start, end)
         distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
-        if len(self._place) > self._most:
+        if len(self._keys) > self._most:
             self._forget()
-        keys = distinct.tolist()
-        fresh = [i for i, k in enumerate(keys) if k not in self._place]
-        raw = data.tobytes()
-        self._learn([keys[i] for i in fresh], [raw[start[first[i]] : end[first[i]]] for i in fresh])
-        place = np.fromiter(map(self._place.__getitem__, keys), dtype=np.int64, count=len(keys))[back]
+        at = np.searchsorted(self._keys, distinct)
+        known = at < len(self._keys)
+        known[known] = self._keys[at[known]] == distinct[known]
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            raw, own = data.tobytes(), first[fresh]
+            self._learn(distinct[fresh], [raw[a:b] for a, b in zip(start[own].tolist(), end[own].tolist())])
+        place = np.searchsorted(self._keys, distinct)[back]
         size = self._size[place]
         until = np.concatenate([[0], np.cumsum(size)])
         take = np.arange(until[-1]) + np.repeat(self._begin[place] - until[:-1], size)

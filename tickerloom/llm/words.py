@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 WHITE = b" \t\n\x0b\x0c\r"
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
