@@ -140,14 +140,29 @@ def test_near_dedup_over_batches_equals_one_pass(spark, tmp_path):
     assert got == greedy([simhash_value(t) for t in texts])
 
 
-def test_exact_dedup_within_the_window(spark, tmp_path):
-    folder = str(tmp_path / "in")
-    for hours, key in ((0, "a"), (1, "a"), (2, "b"), (60, "c"), (61, "d"), (62, "a")):
-        spark.createDataFrame([(key, START + timedelta(hours=hours))], "content_hash string, ingest_ts timestamp") \
+def arrivals(spark, tmp_path, rows, batches):
+    """(hours, headline) in arrival order as a stream of so many micro-batches."""
+    folder = str(tmp_path / f"in{batches}")
+    timed = [(i, t, START + timedelta(hours=h), str(hash(t))) for i, (h, t) in enumerate(rows)]
+    step = -(-len(timed) // batches)
+    for at in range(0, len(timed), step):
+        spark.createDataFrame(timed[at:at + step], "ordinal int, headline string, ingest_ts timestamp, content_hash string") \
             .coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    out = str(tmp_path / "kept")
-    unique = jobs.dedup_exact_stream(stream)
-    finish(unique.writeStream.format("parquet").option("path", out), tmp_path / "cp")
-    got = sorted(r.content_hash for r in spark.read.parquet(out).collect())
-    assert got == ["a", "a", "b", "c", "d"]
+    return spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_window_does_not_depend_on_batches(spark, tmp_path):
+    one, two = "Bank shares rise after record results", "Something else entirely about oil"
+    rows = [(0, one), (1, one), (20, two), (23, one), (24, one), (30, one), (43, two), (44, two),
+            (47, one), (48, one), (49, two), (200, one), (201, one)]
+    expected, until = set(), {}
+    for i, (hour, text) in enumerate(rows):
+        if hour >= until.get(text, 0):
+            expected.add(i)
+            until[text] = hour + 24
+    for job in (jobs.dedup_exact_stream, jobs.dedup_near_stream):
+        for batches in (1, 4):
+            out = str(tmp_path / f"{job.__name__}{batches}")
+            finish(job(arrivals(spark, tmp_path / job.__name__, rows, batches), out), tmp_path / f"cp-{job.__name__}{batches}")
+            got = {r.ordinal for r in spark.read.parquet(f"{out}/kept").collect()}
+            assert got == expected, (job.__name__, batches)

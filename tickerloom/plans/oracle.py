@@ -6,7 +6,7 @@ import math
 
 from tickerloom.functions import vocab
 from tickerloom.functions.vocab import E2E_BUCKETS, PRODUCE_BUCKETS
-from tickerloom.plans.views import PHRASES
+from tickerloom.plans.views import ARRIVAL_SPAN, PHRASES
 
 _WS = (
     r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}"
@@ -490,6 +490,31 @@ prints as materialized (
 ) + """ as fp from votes)
 """
 _FP = "lpad(lower(hex({0})), 16, '0')"
+_ARRIVED = f"""
+arrived as materialized (
+  select *, ordinal * {ARRIVAL_SPAN} // (select max(ordinal) + 1 from raw_docs) as secs from raw_docs)
+"""
+_KEPT_IN_WINDOW = """
+ordered as materialized (
+  select row_number() over (order by r.ordinal) as rn, r.ordinal, r.content_hash, r.secs, fp
+  from arrived r join prints using (ordinal)),
+walk as (
+  select 0::bigint as rn, []::struct(fp ubigint, secs bigint)[] as kept, false as keep
+  union all
+  select o.rn, case when near then kept else list_append(kept, struct_pack(fp := o.fp, secs := o.secs)) end, not near
+  from (select w.rn + 1 as next, w.kept from walk w) s
+  join ordered o on o.rn = s.next,
+  lateral (select len(list_filter(
+    s.kept, lambda k: o.secs - k.secs < 86400 and bit_count(xor(k.fp, o.fp)) < 4)) > 0 as near))
+"""
+_FIRST_IN_WINDOW = """
+firsts as (
+  select content_hash, min(ordinal) as ordinal, min(secs) as secs from arrived group by 1
+  union all
+  select r.content_hash, min(r.ordinal), min(r.secs) from firsts f
+  join arrived r on r.content_hash = f.content_hash and r.secs >= f.secs + 86400
+  group by r.content_hash)
+"""
 _FETCHED = """
 raw_docs as materialized (
   select *, row_number() over (order by rank, payload_id, pos) as ordinal
@@ -806,8 +831,13 @@ def oracle_sql() -> dict[str, str]:
     q["dedup_near"] = _with(
         "select ordinal, content_hash from walk join ordered using (rn) where keep", _RAW, _PRINTS, _KEPT
     ).replace("with ", "with recursive ", 1)
-    q["stream_near_dedup"] = q["dedup_near"]
-    q["stream_dedup"] = _with("select distinct content_hash from raw_docs", _RAW)
+    q["stream_near_dedup"] = _with(
+        "select ordinal, content_hash from walk join ordered using (rn) where keep",
+        _RAW, _PRINTS, _ARRIVED, _KEPT_IN_WINDOW,
+    ).replace("with ", "with recursive ", 1)
+    q["stream_dedup"] = _with(
+        "select ordinal, content_hash from firsts", _RAW, _ARRIVED, _FIRST_IN_WINDOW
+    ).replace("with ", "with recursive ", 1)
     q["drop_seen"] = _with(
         "select ordinal from raw_docs where source <> 'src0' and content_hash not in "
         "(select content_hash from raw_docs where source = 'src0')", _RAW,

@@ -76,24 +76,33 @@ def stream_hourly(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _raw_stream(spark: SparkSession, sf: str) -> DataFrame:
-    docs = vw.as_raw_docs(_stream(spark, sf, "documents"))
-    return docs.withColumn(
-        "ingest_ts", F.timestamp_seconds(F.unix_timestamp(F.lit(vw.START)) + F.col("ordinal"))
+_FILES = 4
+
+
+def _raw_stream(spark: SparkSession, sf: str, path: str) -> DataFrame:
+    """All documents in arrival order, as four files that are read in one micro-batch each."""
+    docs = vw.as_raw_docs(vw.table(spark, sf, "documents"))
+    size = docs.agg(F.max("ordinal") + 1).first()[0] or 1
+    after = F.floor(F.col("ordinal") * vw.ARRIVAL_SPAN / size)
+    timed = docs.withColumn(
+        "ingest_ts", F.timestamp_seconds(F.unix_timestamp(F.lit(vw.START)) + after)
     )
+    part = F.floor(F.col("ordinal") * _FILES / size)
+    for k in range(_FILES):
+        timed.filter(part == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    schema = spark.read.parquet(f"{path}/in").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
 
 
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     path = _place(spark, "dedup")
-    unique = jobs.dedup_exact_stream(_raw_stream(spark, sf)).select("content_hash")
-    writer = unique.writeStream.format("parquet").option("path", f"{path}/kept")
-    _finish(writer.outputMode("append"), path)
-    return spark.read.parquet(f"{path}/kept")
+    _finish(jobs.dedup_exact_stream(_raw_stream(spark, sf, path), path), path)
+    return spark.read.parquet(f"{path}/kept").select("ordinal", "content_hash")
 
 
 def stream_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     path = _place(spark, "near")
-    _finish(jobs.dedup_near_stream(_raw_stream(spark, sf), path), path)
+    _finish(jobs.dedup_near_stream(_raw_stream(spark, sf, path), path), path)
     return spark.read.parquet(f"{path}/kept").select("ordinal", "content_hash")
 
 

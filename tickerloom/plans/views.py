@@ -36,6 +36,8 @@ PHRASES = (
 )
 STEP_SECONDS = 20
 START = "2024-01-01 00:00:00"
+#: Seconds from the first to the last arrival of the de-duplication streams: six windows.
+ARRIVAL_SPAN = 6 * 86_400
 
 # The mean of ten stand-in passes is near uniform, so the flag needs a high bound to split rows.
 STORE_PARAMS = Params(uncertainty_threshold=0.99)
