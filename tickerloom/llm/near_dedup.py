@@ -40,15 +40,19 @@ class NearRules:
     cells: int = 1 << 18
 
     def shared(self, n: int) -> int:
-        """Least number of values that the sketch of a set of size n holds of a similar set's sketch.
+        """Least number of common values of the sketches of a set of size n and of any similar set.
 
-        A small set is known whole. Of a larger one, at worst the other is a part of it: the sketch
-        is then a draw without return from its own set.
+        The two sets together have at most m = n / 0.8 values. While m fits into a sketch, both sets are
+        known whole. Else the k smallest values of the two sets together are a draw without return
+        from at most m, of which a fifth at most is not common: all of that fifth in the draw is the
+        worst case for small sets, chance is for larger ones. A smaller set may be known whole.
         """
-        p, k = self.percent / 100, self.sketch
-        if n <= k:
-            return -(-self.percent * n // 100)
-        return max(1, math.floor(p * k - _SLACK * math.sqrt(k * p * (1 - p) * (1 - k / n))))
+        k, p = self.sketch, self.percent / 100
+        whole, m = -(-self.percent * n // 100), 100 * n // self.percent
+        if m <= k:
+            return whole
+        drawn = math.floor(p * k - _SLACK * math.sqrt(k * p * (1 - p) * (m - k) / (m - 1)))
+        return max(1, min(whole, max(drawn, k - m * (100 - self.percent) // 100)))
 
 
 def shingle_sets(texts: Texts, shingle: int) -> Iterator[np.ndarray]:
