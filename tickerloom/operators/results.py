@@ -100,13 +100,19 @@ def recent(results: DataFrame, as_of: datetime | Column, hours: int = 24, limit:
     return newest(since(results, as_of, hours), limit)
 
 
+def ticker_mentions(
+    results: DataFrame, ticker: str, as_of: datetime | Column, hours: int = 24
+) -> DataFrame:
+    """All rows of the window that name the ticker."""
+    between("hours", hours, 1, 168)
+    return since(results.filter(F.array_contains("tickers", ticker.upper())), as_of, hours)
+
+
 def by_ticker(
     results: DataFrame, ticker: str, as_of: datetime | Column, hours: int = 24,
     params: Params = DEFAULTS,
 ) -> DataFrame:
-    between("hours", hours, 1, 168)
-    mentions = results.filter(F.array_contains("tickers", ticker.upper()))
-    return newest(since(mentions, as_of, hours), params.ticker_row_cap)
+    return newest(ticker_mentions(results, ticker, as_of, hours), params.ticker_row_cap)
 
 
 def dashboard_filter(

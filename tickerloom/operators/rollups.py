@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tickerloom.functions.probability import rounded
 from tickerloom.functions.vocab import E2E_BUCKETS, SENTIMENTS
 from tickerloom.operators.ordering import quantiles
-from tickerloom.operators.results import between, by_ticker, since
+from tickerloom.operators.results import between, newest, since, ticker_mentions
 from tickerloom.params import DEFAULTS, Params
 
 # Rollup column -> result column.
@@ -91,10 +91,12 @@ def _ticker_shares(n: Column) -> list[Column]:
 
 def ticker_summary(
     results: DataFrame, ticker: str, as_of: datetime | Column, hours: int = 24,
-    params: Params = DEFAULTS,
+    newest_rows: int | None = None,
 ) -> DataFrame:
-    """One row over the newest mentions of a ticker; no row where there are none."""
-    rows = by_ticker(results, ticker, as_of, hours, params)
+    """One row over all mentions of a ticker, or so many of the newest; no row where there are none."""
+    rows = ticker_mentions(results, ticker, as_of, hours)
+    if newest_rows is not None:
+        rows = newest(rows, newest_rows)
     n = F.count("*")
     return (
         rows.groupBy(F.lit(ticker.upper()).alias("ticker"), F.lit(hours).alias("hours"))
@@ -118,11 +120,12 @@ def ticker_aggregates(batch: DataFrame) -> DataFrame:
 
 
 def ticker_cache_or_table(
-    cached: DataFrame, results: DataFrame, ticker: str, as_of: datetime | Column, hours: int = 24
+    cached: DataFrame, results: DataFrame, ticker: str, as_of: datetime | Column, hours: int = 24,
+    newest_rows: int | None = None,
 ) -> DataFrame:
     """The cached record of a ticker, else its summary from the table; `source` tells which."""
     wanted = cached.filter(F.col("ticker") == ticker.upper()).withColumn("source", F.lit("cache"))
-    summary = ticker_summary(results, ticker, as_of, hours)
+    summary = ticker_summary(results, ticker, as_of, hours, newest_rows)
     return wanted.unionByName(
         summary.join(wanted.select("ticker"), "ticker", "left_anti"), allowMissingColumns=True
     )

@@ -247,6 +247,12 @@ def _ticker_rows(ticker: str, hours: int) -> str:
     )
 
 
+def _whole(statement: str, ticker: str, hours: int) -> str:
+    """The statement over all mentions instead of the newest."""
+    rows = _ticker_rows(ticker, hours)
+    return statement.replace(rows, rows.replace(f" {_NEWEST} 200)", ")"))
+
+
 def _histogram(buckets) -> str:
     rows = " union all ".join(
         f"select '{b:.3f}' as le, count(*) filter (value / 10 <= {b!r}::double) as cumulative_count from events"
@@ -760,6 +766,8 @@ def oracle_sql() -> dict[str, str]:
         f"select 'GS' as ticker, count(*) as article_count, {_shares()}, null::double as avg_uncertainty, "
         f"'db' as source, 24 as hours from {_ticker_rows('GS', 24)} having count(*) > 0"
     )
+    q["ticker_summary_whole"] = _whole(q["ticker_summary"], "NVDA", 48)
+    q["ticker_cache_or_table_whole"] = _whole(q["ticker_cache_or_table"], "GS", 24)
     q["kpis"] = _res(
         "select articles, " + _rs("positive_pct", "negative_pct", "avg_confidence_pct", "avg_uncertainty_pct")
         + f", {_r('positive_pct - 50')} as positive_vs_half_pp from (select count(*) as articles, "

@@ -378,6 +378,12 @@ def hourly_by_sentiment(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def ticker_summary(spark: SparkSession, sf: str) -> DataFrame:
+    stored = vw.results(spark, sf)
+    return ro.ticker_summary(stored, "nvda", vw.as_of(stored), 48, newest_rows=200)
+
+
+@query
+def ticker_summary_whole(spark: SparkSession, sf: str) -> DataFrame:
     stored = vw.results(spark, sf)
     return ro.ticker_summary(stored, "nvda", vw.as_of(stored), 48)
 
@@ -387,16 +393,24 @@ def ticker_aggregates(spark: SparkSession, sf: str) -> DataFrame:
     return ro.ticker_aggregates(vw.results(spark, sf))
 
 
-@query
-def ticker_cache_or_table(spark: SparkSession, sf: str) -> DataFrame:
-    stored = vw.results(spark, sf)
+def _cache_or_table(stored: DataFrame, newest_rows: int | None) -> DataFrame:
     cached = ro.ticker_aggregates(stored.filter(F.col("market_impact") == "medium"))
     now = vw.as_of(stored)
-    hit = ro.ticker_cache_or_table(cached, stored, "aapl", now)
-    miss = ro.ticker_cache_or_table(cached.filter("false"), stored, "gs", now)
+    hit = ro.ticker_cache_or_table(cached, stored, "aapl", now, newest_rows=newest_rows)
+    miss = ro.ticker_cache_or_table(cached.filter("false"), stored, "gs", now, newest_rows=newest_rows)
     return hit.unionByName(miss)
 
 
+@query
+def ticker_cache_or_table(spark: SparkSession, sf: str) -> DataFrame:
+    return _cache_or_table(vw.results(spark, sf), 200)
+
+
+@query
+def ticker_cache_or_table_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _cache_or_table(vw.results(spark, sf), None)
+
+
 @query
 def kpis(spark: SparkSession, sf: str) -> DataFrame:
     found = ro.kpis(vw.results(spark, sf))
