@@ -20,8 +20,14 @@ from tickerloom.session import prepare
 
 @dataclass(frozen=True)
 class LineRules:
-    #: Shorter lines are left alone: headings and list marks repeat for good reasons.
+    #: Shorter lines are not compared for an edited word, and by default not for equality either.
     least_words: int = 8
+    #: Equal lines of at least so many words go; 1 leaves blank lines only.
+    equal_words: int | None = None
+
+    @property
+    def shortest(self) -> int:
+        return self.least_words if self.equal_words is None else min(self.equal_words, self.least_words)
 
 
 def line_words(line: Column) -> Column:
@@ -29,11 +35,11 @@ def line_words(line: Column) -> Column:
     return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def _lines(docs: DataFrame, id_col: str, rules: LineRules) -> DataFrame:
+def _lines(docs: DataFrame, id_col: str, least_words: int) -> DataFrame:
     """(id, no, words) of the lines that are long enough."""
     listed = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("no", "line"))
     words = listed.select("id", "no", line_words(F.col("line")).alias("words"))
-    return words.filter(F.size("words") >= rules.least_words)
+    return words.filter(F.size("words") >= least_words)
 
 
 def _line_key(words: Column) -> list[Column]:
@@ -109,7 +115,7 @@ def _near_earlier(docs: DataFrame, lines: DataFrame, id_col: str, rules: LineRul
     line_bits = bitmap(near, F.col("ha")).checkpoint()
 
     # The words again, only of lines that agree with another on a half; one row per distinct line.
-    words = _lines(docs, id_col, rules).select("id", "no", "words", *_line_key(F.col("words")))
+    words = _lines(docs, id_col, rules.least_words).select("id", "no", "words", *_line_key(F.col("words")))
     words = maybe_members(words, F.col("ha"), line_bits)
     distinct = (
         words.groupBy("ha", "hb")
@@ -147,11 +153,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", rules: LineRules = L
     """(id, no) of lines that go: an equal line, or one within one edited word, stands earlier.
 
     Earlier means at a smaller id, or before in the same document; whether the earlier line goes itself
-    does not matter. Lines with fewer than `least_words` words stay.
+    does not matter. Lines with fewer than `least_words` words go only as equal lines, and only where
+    `equal_words` lets them.
     """
-    lines = _lines(docs, id_col, rules).select(
-        "id", "no", *_line_key(F.col("words")), _half_keys(F.col("words")).alias("halves")
-    )
+    halves = F.when(F.size("words") >= rules.least_words, _half_keys(F.col("words")))
+    lines = _lines(docs, id_col, rules.shortest).select("id", "no", *_line_key(F.col("words")), halves.alias("halves"))
     lines = lines.checkpoint()
     place = lines.select("id", "no", "ha", "hb")
     first = place.groupBy("ha", "hb").agg(F.min(F.struct("id", "no")).alias("first"), F.count(F.lit(1)).alias("n"))

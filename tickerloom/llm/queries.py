@@ -102,11 +102,20 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"))
 
 
-def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+def _cleaned_lines(docs: DataFrame, rules: line_dedup.LineRules) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(docs, rules=rules)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cleaned_lines(_table(spark, sf_dir, "documents"), line_dedup.LineRules())
+
+
+def op9_line_dedup_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal lines of any length go, too."""
+    return _cleaned_lines(_table(spark, sf_dir, "documents"), line_dedup.LineRules(equal_words=1))
+
+
 def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -114,6 +123,6 @@ def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Query]:
     ops = (
         op1_quality, op2_chat, op3_near_dedup, op4_secrets, op5_packing, op6_exact_dedup, op7_pieces,
-        op8_substring_dedup, op9_line_dedup, op10_classifier,
+        op8_substring_dedup, op9_line_dedup, op9_line_dedup_short, op10_classifier,
     )
     return {f.__name__: f for f in ops}

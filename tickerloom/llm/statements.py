@@ -138,6 +138,13 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+def _lines_short() -> str:
+    """Equal lines of one word and more, edited lines as in the other statement."""
+    long = f"WHERE len(w) >= {LineRules().least_words}"
+    edited = _lines().replace("AS i FROM u))", f"AS i FROM u {long}))").replace("AS v FROM u)", f"AS v FROM u {long})")
+    return edited.replace(f"FROM w {long})", "FROM w WHERE len(w) >= 1)")
+
+
 def llm_oracle_sql() -> dict[str, str]:
     return {
         "op2_chat": _chat(),
@@ -146,4 +153,5 @@ def llm_oracle_sql() -> dict[str, str]:
         "op6_exact_dedup": _EXACT,
         "op8_substring_dedup": _REPEATS,
         "op9_line_dedup": _lines(),
+        "op9_line_dedup_short": _lines_short(),
     }
