@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as named queries over whole tables."""
+"""The operators as named queries over whole tables."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickerloom.llm import (
     chat,
     classifier,
+    decontaminate,
     exact_dedup,
     line_dedup,
     near_dedup,
@@ -120,9 +121,23 @@ def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        covered.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 def llm_queries() -> dict[str, Query]:
     ops = (
         op1_quality, op2_chat, op3_near_dedup, op4_secrets, op5_packing, op6_exact_dedup, op7_pieces,
         op8_substring_dedup, op9_line_dedup, op9_line_dedup_short, op10_classifier,
+        op13_decontaminate,
     )
     return {f.__name__: f for f in ops}

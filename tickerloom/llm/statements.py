@@ -145,6 +145,26 @@ def _lines_short() -> str:
     return edited.replace(f"FROM w {long})", "FROM w WHERE len(w) >= 1)")
 
 
+_LEAKS = r"""
+WITH s AS (SELECT 0 AS side, doc_id, '' AS item_id, text FROM documents
+    UNION ALL SELECT 1, 0, CAST(item_id AS VARCHAR), text FROM benchmark),
+w AS (SELECT side, doc_id, item_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM s),
+b AS (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i
+    FROM w WHERE side = 1 AND len(w) > 0),
+win AS (SELECT DISTINCT n, array_to_string(w[i:i + n - 1], ' ') AS k, item_id FROM b),
+p AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM w, (SELECT DISTINCT n FROM win)
+    WHERE side = 0 AND len(w) >= n),
+hit AS (SELECT doc_id, i, n, item_id FROM (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM p) JOIN win USING (n, k)),
+c AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM hit) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+    FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT w.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id) WHERE side = 0
+"""
+
+
 def llm_oracle_sql() -> dict[str, str]:
     return {
         "op2_chat": _chat(),
@@ -154,4 +174,5 @@ def llm_oracle_sql() -> dict[str, str]:
         "op8_substring_dedup": _REPEATS,
         "op9_line_dedup": _lines(),
         "op9_line_dedup_short": _lines_short(),
+        "op13_decontaminate": _LEAKS,
     }

@@ -13,6 +13,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 WHITE = b" \t\n\x0b\x0c\r"
 SLICE_BYTES = 1 << 19
@@ -59,14 +60,23 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 INVERSE = pow(_BASE, -1, 1 << 64)
+#: Longest span that the polynomial names. Modulo 2^64 it takes equal values on a Thue-Morse sequence
+#: of 1,024 places and on its complement; up to 64 places at least 38 bits tell such pairs apart.
+POLYNOMIAL_SPAN = 64
 
 
 def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """One number for every span [start, end) of a sequence, equal for equal spans."""
+    """One number for every span [start, end) of a sequence, equal for equal spans.
+
+    Spans of up to 64 places by a polynomial, longer ones by xxh3 over their values.
+    """
     sums = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum(values * powers(_BASE, len(values)), out=sums[1:])
     raw = (sums[end] - sums[start]) * powers(INVERSE, len(values) + 1)[start]
-    return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    out = mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    for i in np.flatnonzero(end - start > POLYNOMIAL_SPAN):
+        out[i] = xxhash.xxh3_64_intdigest(values[start[i] : end[i]].tobytes(), seed=1)
+    return out
 
 
 @dataclass
@@ -94,8 +104,10 @@ def totals(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """Rows of a batch in order, in groups of a few MB of text; a null text is empty."""
+def text_slices(
+    batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES
+) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """Rows of a batch in order, in groups of about `size` bytes of text; a null text is empty."""
     values = batch.column(batch.schema.get_field_index(column))
     if values.null_count:
         values = values.fill_null("" if not pa.types.is_binary(values.type) else b"")
@@ -106,7 +118,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[p
     data = np.frombuffer(buffer, dtype=np.uint8) if buffer is not None else np.zeros(0, np.uint8)
     row = 0
     while row < len(values):
-        end = int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, side="right")) - 1
+        end = int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1
         end = min(max(end, row + 1), len(values))
         own = offsets[row : end + 1]
         yield batch.slice(row, end - row), Texts(data[own[0] : own[-1]], own - own[0])
@@ -129,12 +141,18 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def words_of(texts: Texts, lower: bool = False) -> Words:
-    """`lower` treats A-Z as a-z; other letters keep their case."""
-    white, values = byte_class(WHITE), byte_values(lower)
+def word_spans(
+    texts: Texts, lower: bool = False, separators: bytes = WHITE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers, first bytes and ends of all runs of bytes outside the separators, in order.
+
+    `lower` treats A-Z as a-z; other letters keep their case.
+    """
+    white, values = byte_class(separators), byte_values(lower)
     begins = np.zeros(len(texts.data) + 1, dtype=bool)
     begins[texts.offsets] = True
-    found, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    found = [np.zeros(0, np.uint64)]
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     at, size = 0, len(texts.data)
     while at < size:
         end = min(at + SLICE_BYTES, size)
@@ -148,5 +166,11 @@ def words_of(texts: Texts, lower: bool = False) -> Words:
         start, stop = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         found.append(span_hashes(values[block], start, stop))
         starts.append(start + at)
+        ends.append(stop + at)
         at = end
-    return Words(np.concatenate(found), np.searchsorted(np.concatenate(starts), texts.offsets))
+    return np.concatenate(found), np.concatenate(starts), np.concatenate(ends)
+
+
+def words_of(texts: Texts, lower: bool = False, separators: bytes = WHITE) -> Words:
+    hashes, start, _ = word_spans(texts, lower, separators)
+    return Words(hashes, np.searchsorted(start, texts.offsets))
