@@ -15,6 +15,7 @@ from tickerloom.llm import (
     line_dedup,
     near_dedup,
     packing,
+    phrases,
     pieces,
     quality,
     secrets,
@@ -121,6 +122,10 @@ def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(_table(spark, sf_dir, "documents"))
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -138,6 +143,6 @@ def llm_queries() -> dict[str, Query]:
     ops = (
         op1_quality, op2_chat, op3_near_dedup, op4_secrets, op5_packing, op6_exact_dedup, op7_pieces,
         op8_substring_dedup, op9_line_dedup, op9_line_dedup_short, op10_classifier,
-        op13_decontaminate,
+        op11_phrases, op13_decontaminate,
     )
     return {f.__name__: f for f in ops}

@@ -165,6 +165,30 @@ FROM w LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id) WHERE side = 0
 """
 
 
+_PHRASES = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM t),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+o AS (SELECT lang, 1 AS k, unnest(w) AS g FROM p
+    UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM p
+    UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM p),
+f AS (SELECT lang, k, g, count(*) AS f FROM o GROUP BY lang, k, g HAVING count(*) >= 10),
+c AS (SELECT lang, k, g, f AS a, string_split(g, ' ') AS w FROM f WHERE k > 1),
+u AS (SELECT lang, k, g, a, w, i, array_to_string(w[1:i], ' ') AS lg, array_to_string(w[i + 1:], ' ') AS rg
+    FROM (SELECT *, unnest(range(1, k)) AS i FROM c)),
+s AS (SELECT u.*, l.f AS l, r.f AS r, ((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+    FROM u JOIN f l ON l.lang = u.lang AND l.g = lg AND l.k = i JOIN f r ON r.lang = u.lang AND r.g = rg AND r.k = u.k - i),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, i) = 1),
+h AS (SELECT lang, g, max(f) AS f FROM (SELECT lang, w[1] || ' ' || w[2] AS g, a AS f FROM c WHERE k = 3
+    UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM c WHERE k = 3) GROUP BY lang, g),
+z AS (SELECT b.lang, b.g AS phrase, a, l, r, score FROM b LEFT JOIN h ON h.lang = b.lang AND h.g = b.g
+    WHERE h.f IS NULL OR 100 * h.f < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM z JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def llm_oracle_sql() -> dict[str, str]:
     return {
         "op2_chat": _chat(),
@@ -174,5 +198,6 @@ def llm_oracle_sql() -> dict[str, str]:
         "op8_substring_dedup": _REPEATS,
         "op9_line_dedup": _lines(),
         "op9_line_dedup_short": _lines_short(),
+        "op11_phrases": _PHRASES,
         "op13_decontaminate": _LEAKS,
     }
