@@ -4,8 +4,8 @@ A suffix is a place in a piece of text and the words behind it, three at most. S
 by multikey quicksort: partition by one word into less, equal and greater, go on with the next word in
 the equal part. The size of an equal part is the number of occurrences of its words.
 
-1. Words are counted over all texts. Those below the least count end a suffix, in all tasks alike, by a
-   bitmap of fixed size whose false hits do no harm.
+1. Words are counted over all texts, then the hashes of pairs of frequent words. What is below the least
+   count ends a suffix, in all tasks alike, by bitmaps of fixed size whose false hits do no harm.
 2. Each task sorts the suffixes of some MB of text and sends one row per distinct suffix with its size,
    to a place that depends on the two leading words. There the rows of all tasks are sorted again, and a
    part that cannot reach the least count is left unsorted.
@@ -49,7 +49,7 @@ class PhraseRules:
     unknown: str = "und"
     #: Text whose suffixes one task sorts together, and words of the corpus for each place they are sent to.
     slice_bytes: int = 4 << 20
-    bucket_words: int = 1 << 20
+    bucket_words: int = 1 << 19
     #: A word is very frequent when it is one of `heavy` or more equal shares of all words: there are at
     #: most that many such words.
     heavy: int = 4096
@@ -149,8 +149,15 @@ def count_words(docs: DataFrame, rules: PhraseRules = PhraseRules()) -> DataFram
     return made.groupBy("lang", "key", "word").agg(F.sum("n").alias("n"))
 
 
-def _suffixes(texts, salt, frequent):
-    """Words 1 to 3 of all suffixes whose first two may be frequent; 0 for no third word."""
+def _pair(w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
+    return mix(w1 ^ mix(w2))
+
+
+def _suffixes(texts, salt, frequent, pairs=None):
+    """Words 1 to 3 of all suffixes whose first two may be frequent; 0 for no third word.
+
+    With the bitmap of `pairs`, the two words and the last two may be frequent as pairs, too.
+    """
     hashes, start, _ = word_spans(texts, True, SEPARATORS)
     n = len(hashes)
     keys = _keyed(hashes, salt)
@@ -158,10 +165,29 @@ def _suffixes(texts, salt, frequent):
     # Pieces are told apart by the number of their end marks so far, and of texts so far.
     piece = breaks[start] + np.searchsorted(texts.offsets, start, side="right") if n else start
     keys = np.append(np.where(in_bits(frequent, keys), keys, np.uint64(0)), np.zeros(2, np.uint64))
-    piece = np.append(piece, [-1, -2])
-    at = np.flatnonzero((keys[:n] != 0) & (keys[1 : n + 1] != 0) & (piece[:n] == piece[1 : n + 1]))
-    third = np.where(piece[at + 2] == piece[at], keys[at + 2], np.uint64(0))
-    return keys[at], keys[at + 1], third
+    joined = np.zeros(n + 1, dtype=bool)
+    joined[: max(n - 1, 0)] = piece[1:] == piece[:-1]
+    joined[:n] &= (keys[:n] != 0) & (keys[1 : n + 1] != 0)
+    if pairs is not None:
+        at = np.flatnonzero(joined)
+        joined[at] = in_bits(pairs, _pair(keys[at], keys[at + 1]))
+    at = np.flatnonzero(joined)
+    return keys[at], keys[at + 1], np.where(joined[at + 1], keys[at + 2], np.uint64(0))
+
+
+def count_pairs(docs: DataFrame, frequent, rules: PhraseRules = PhraseRules()) -> DataFrame:
+    """(pair, n): how often the hash of two neighbouring frequent words occurs."""
+
+    def count(batches):
+        for batch in batches:
+            for _, own, salt in _by_language(batch, rules):
+                for _, texts in text_slices(own, size=rules.slice_bytes):
+                    w1, w2, _ = _suffixes(texts, salt, frequent.value)
+                    pair, n = np.unique(_pair(w1, w2), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(n)], ["pair", "n"])
+
+    made = docs.select("lang", "text").mapInArrow(count, "pair long, n long")
+    return made.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def count_phrases(docs: DataFrame, words: DataFrame, total: int, rules: PhraseRules = PhraseRules()) -> DataFrame:
@@ -174,6 +200,8 @@ def count_phrases(docs: DataFrame, words: DataFrame, total: int, rules: PhraseRu
     found = [r["key"] for r in words.filter(F.col("n") >= share).select("key").limit(rules.heavy + 1).collect()]
     heavy = spark.sparkContext.broadcast(np.sort(np.array(found, dtype=np.int64).view(np.uint64)))
     frequent = spark.sparkContext.broadcast(bit_array(words, "key"))
+    enough = count_pairs(docs, frequent, rules).filter(F.col("n") >= rules.least)
+    pairs = spark.sparkContext.broadcast(bit_array(enough, "pair"))
     buckets = total // rules.bucket_words + 1
 
     def is_split(w1, w2):
@@ -183,11 +211,11 @@ def count_phrases(docs: DataFrame, words: DataFrame, total: int, rules: PhraseRu
         for batch in batches:
             for _, own, salt in _by_language(batch, rules):
                 for _, texts in text_slices(own, size=rules.slice_bytes):
-                    keys = list(_suffixes(texts, salt, frequent.value))
+                    keys = list(_suffixes(texts, salt, frequent.value, pairs.value))
                     order, parts = multikey_quicksort(keys, np.ones(len(keys[0]), np.int64))
                     first, n = parts[-1]
                     w1, w2, w3 = (k[order[first]] for k in keys)
-                    place = mix(w1 ^ mix(w2))
+                    place = _pair(w1, w2)
                     place = np.where(is_split(w1, w2), mix(place ^ w3), place) % np.uint64(buckets)
                     columns = [place.astype(np.int64), w1.view(np.int64), w2.view(np.int64), w3.view(np.int64), n]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "w1", "w2", "w3", "n"])
