@@ -17,6 +17,7 @@ from tickerloom.llm import (
     packing,
     phrases,
     pieces,
+    prefix_trie,
     quality,
     secrets,
     substring_dedup,
@@ -126,6 +127,25 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine_phrases(_table(spark, sf_dir, "documents"))
 
 
+def with_shared_starts(turns: DataFrame) -> DataFrame:
+    """Conversation c begins with the first h turns of c - c % 20, in place of its own first h; h = crc32(c) % 4."""
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    convs = turns.select("conv_id").distinct().withColumn("h", h)
+    heads = turns.filter("place <= 3").withColumnRenamed("conv_id", "base")
+    begin = convs.withColumn("base", F.col("conv_id") - F.col("conv_id") % 20).join(heads, "base").filter("place <= h")
+    rest = turns.filter(F.col("place") > h)
+    joined = begin.select("conv_id", F.struct(F.lit(0).alias("part"), "place").alias("turn"), "role", "text").union(
+        rest.select("conv_id", F.struct(F.lit(1).alias("part"), "place").alias("turn"), "role", "text")
+    )
+    return prefix_trie.ordered_turns(joined)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = prefix_trie.ordered_turns(rows).checkpoint()
+    return prefix_trie.prefix_trie(with_shared_starts(turns), rows)
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -143,6 +163,6 @@ def llm_queries() -> dict[str, Query]:
     ops = (
         op1_quality, op2_chat, op3_near_dedup, op4_secrets, op5_packing, op6_exact_dedup, op7_pieces,
         op8_substring_dedup, op9_line_dedup, op9_line_dedup_short, op10_classifier,
-        op11_phrases, op13_decontaminate,
+        op11_phrases, op12_prefix_trie, op13_decontaminate,
     )
     return {f.__name__: f for f in ops}

@@ -189,6 +189,35 @@ FROM z JOIN n USING (lang) QUALIFY rank <= 2000
 """
 
 
+#: The remainder of the CRC by the bits of a decimal's digits: a number of 0 and more is a byte, -1 a shift.
+_TRIE = r"""
+WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER
+    (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+    FROM conversations WHERE conv_id IS NOT NULL),
+x AS (SELECT DISTINCT conv_id AS c, CAST(conv_id AS VARCHAR) AS v FROM o),
+k AS (SELECT c, c - c % 20 AS base, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(v, ''),
+    lambda b: [unicode(b)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 4 AS h FROM x),
+r AS (SELECT c, 0 AS part, p, role, text FROM k JOIN o ON conv_id = base AND p <= h
+    UNION ALL SELECT c, 1, p, role, text FROM k JOIN o ON conv_id = c AND p > h),
+t AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, p) AS d, sha256(length(role) || ':' || role || text) AS id,
+    len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM r),
+l AS (SELECT c, list(id ORDER BY d) AS ids, list(w ORDER BY d) AS ws FROM t GROUP BY c),
+s AS (SELECT k.c, coalesce(ids, []) AS ids, coalesce(ws, []) AS ws FROM k LEFT JOIN l USING (c)),
+m AS (SELECT c, d, array_to_string(ids[1:d], '') AS key, ws[d] AS w, len(ids) = d AS ended
+    FROM (SELECT *, unnest(range(0, len(ids) + 1)) AS d FROM s)),
+n AS (SELECT d, key, min(c) AS conv_id, count(*) AS n_convs, coalesce(any_value(w), 0) AS w,
+    coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ended), '') AS ends FROM m GROUP BY d, key),
+u AS (SELECT d - 1 AS d, substring(key, 1, 64 * (d - 1)) AS key, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+a AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN u USING (d, key)),
+b AS (SELECT e AS d, substring(key, 1, 64 * e) AS key, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves,
+    sum((n_convs - 1) * w) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM a) GROUP BY ALL)
+SELECT a.conv_id, a.d AS depth, q.conv_id AS parent_conv_id, a.n_convs, a.n_children, n_leaves::BIGINT AS n_leaves,
+    saved::BIGINT AS saved_tokens, sha256(a.ends) AS ends_sha256
+FROM a JOIN b USING (d, key) LEFT JOIN n q ON q.d = a.d - 1 AND q.key = substring(a.key, 1, 64 * (a.d - 1))
+"""
+
+
 def llm_oracle_sql() -> dict[str, str]:
     return {
         "op2_chat": _chat(),
@@ -199,5 +228,6 @@ def llm_oracle_sql() -> dict[str, str]:
         "op9_line_dedup": _lines(),
         "op9_line_dedup_short": _lines_short(),
         "op11_phrases": _PHRASES,
+        "op12_prefix_trie": _TRIE,
         "op13_decontaminate": _LEAKS,
     }
