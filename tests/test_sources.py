@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickerloom.operators import results as rs
+from tickerloom.params import Params
 from tickerloom.plans import views
 from tickerloom.schemas import RAW_ARTICLE_WIRE, SENTIMENT_RESULT, conform
 from tickerloom.sources import feeds, tables, topic
@@ -65,7 +66,9 @@ def test_rss_caps_a_feed_and_reads_times(spark):
         spark, f"<rss><channel><title>Feed</title>{first}</channel></rss>",
         f"<rss><channel>{second}</channel></rss>",
     ).withColumn("feed_url", F.lit("http://f"))
-    got = feeds.normalize_rss(docs).orderBy("payload_id", "pos").collect()
+    every = feeds.normalize_rss(docs).orderBy("payload_id", "pos").collect()
+    assert [r.headline for r in every[:30]] == [f"H{i}" for i in range(30)] and len(every) == 32
+    got = feeds.normalize_rss(docs, Params(feed_item_cap=20)).orderBy("payload_id", "pos").collect()
     assert [r.headline for r in got[:20]] == [f"H{i}" for i in range(20)]
     a, b = got[20:]
     assert (a.source, a.published_at, a.author) == ("rss:http://f", datetime(2024, 2, 1, 10), "a")
@@ -85,6 +88,7 @@ def test_fetch_all_and_stats(spark):
     got = feeds.fetch_all(sources).collect()
     assert [r.headline for r in got] == ["Other words here", "Entirely different news", long]
     assert got[2].source_kind == "newsapi"
+    assert [r.headline for r in feeds.fetch_all(sources, Params(fetch_cap=1)).collect()] == ["Other words here"]
     stats = feeds.fetch_stats(feeds.union_sources(sources), feeds.fetch_unique(sources))
     by_kind = {r.source_kind: r for r in stats.collect()}
     assert (by_kind["newsapi"].fetched, by_kind["newsapi"].deduplicated) == (2, 0)

@@ -61,6 +61,15 @@ def _bands(fingerprint: Column, masks: Column) -> Column:
     )
 
 
+def banded(prints: DataFrame, max_distance: int = DEFAULTS.near_distance) -> DataFrame:
+    """Rows with `fp` once for each choice of half of its blocks: adds `band` and `band_key`.
+
+    Fingerprints within the distance have an equal key in some band.
+    """
+    masks = _listed(_masks(list(range(64)), 2 * max_distance, max_distance))
+    return prints.select("*", F.inline(_bands(F.col("fp"), masks)))
+
+
 def near_pairs(
     left: DataFrame,
     right: DataFrame | None = None,
@@ -89,11 +98,8 @@ def near_pairs(
     own_inner = F.slice(_listed(inner), F.col("band") * len(masks) + 1, len(masks))
     self_join = right is None
 
-    def banded(df: DataFrame) -> DataFrame:
-        return df.select("fp", F.inline(_bands(F.col("fp"), _listed(masks))))
-
-    a = banded(left)
-    b = a if self_join else banded(right)
+    a = banded(left.select("fp"), max_distance)
+    b = a if self_join else banded(right.select("fp"), max_distance)
     keys = ["band", "band_key"]
     counts = a.groupBy(*keys).agg(F.count("*").alias("n"))
     if self_join:
@@ -154,8 +160,10 @@ def _first_per_fingerprint(articles: DataFrame, arrival: str) -> DataFrame:
     return articles.groupBy("fp").agg(F.min(arrival).alias(arrival))
 
 
-def _dropped_fingerprints(firsts: DataFrame, params: Params, arrival: str) -> DataFrame:
-    """Fingerprints that lie near an earlier kept one.
+def dropped_fingerprints(
+    firsts: DataFrame, params: Params, arrival: str, pairs: DataFrame | None = None
+) -> DataFrame:
+    """Fingerprints that lie near an earlier kept one. `pairs` may hold more fingerprints than `firsts`.
 
     Rounds over the pair graph, edges pointing from earlier to later: an article with no
     undecided earlier neighbour is kept and its later neighbours are dropped. Every round decides
@@ -163,7 +171,8 @@ def _dropped_fingerprints(firsts: DataFrame, params: Params, arrival: str) -> Da
     tables are written to the shared checkpoint folder, which cuts the lineage and outlives
     executors.
     """
-    pairs = near_pairs(firsts.select("fp"), max_distance=params.near_distance)
+    if pairs is None:
+        pairs = near_pairs(firsts.select("fp"), max_distance=params.near_distance)
     order = firsts.select("fp", F.col(arrival).alias("at"))
     placed = (
         pairs.join(order.withColumnsRenamed({"fp": "fp_a", "at": "at_a"}), "fp_a")
@@ -195,7 +204,7 @@ def near_copies(
 ) -> DataFrame:
     """Arrivals that near de-duplication drops from a fingerprint table (`fp`, arrival)."""
     firsts = _first_per_fingerprint(prints, arrival)
-    kept = firsts.join(_dropped_fingerprints(firsts, params, arrival), "fp", "left_anti")
+    kept = firsts.join(dropped_fingerprints(firsts, params, arrival), "fp", "left_anti")
     return prints.select(arrival).join(kept.select(arrival), arrival, "left_anti")
 
 

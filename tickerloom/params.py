@@ -15,8 +15,9 @@ class Params:
     uncertainty_threshold: float = 0.15
     entity_min_score: float = 0.80
     # ingestion
-    feed_item_cap: int = 20
-    fetch_cap: int = 100
+    # None takes every item of a feed, and every unique article.
+    feed_item_cap: int | None = None
+    fetch_cap: int | None = None
     dedup_window_seconds: int = 86_400
     near_distance: int = 3
     # serving

@@ -581,8 +581,9 @@ rss as (
            case when doc_id % 3 = 0 then published_at
                 else max(published_at) over (partition by doc_id // 25) end as published_at,
            body, '' as author
-    from articles) where pos < 20)
+    from articles))
 """
+_RSS_CAPPED = _RSS.replace("    from articles))", "    from articles) where pos < 20)")
 _ROW = (
     f"payload_id, pos, source, headline, url, {_iso('published_at')} as published_at, body, "
     "author, content_hash"
@@ -850,12 +851,13 @@ def oracle_sql() -> dict[str, str]:
         "select ordinal from raw_docs where source <> 'src0' and content_hash not in "
         "(select content_hash from raw_docs where source = 'src0')", _RAW,
     )
-    q["fetch_all"] = _with(
-        f"""select source, headline, url, {_iso('published_at')} as published_at, body, author, content_hash
-            from (select d.* from walk join ordered using (rn) join raw_docs d using (ordinal) where keep
-                  order by d.published_at desc nulls last, ordinal limit 100)""",
-        _ARTICLES, _NEWSAPI, _RSS, _AV, _FETCHED, _PRINTS, _KEPT,
-    ).replace("with ", "with recursive ", 1)
+    for name, rss, cap in (("fetch_all", _RSS, ""), ("fetch_all_capped", _RSS_CAPPED, "limit 100")):
+        q[name] = _with(
+            f"""select source, headline, url, {_iso('published_at')} as published_at, body, author, content_hash
+                from (select d.* from walk join ordered using (rn) join raw_docs d using (ordinal) where keep
+                      order by d.published_at desc nulls last, ordinal {cap})""",
+            _ARTICLES, _NEWSAPI, rss, _AV, _FETCHED, _PRINTS, _KEPT,
+        ).replace("with ", "with recursive ", 1)
     # evaluation
     q["calibrate_temperature"] = _eva("select round_even(exp(log_t), 3) as temperature, "
                                       "round_even(nll, 6) as nll from pass5", *_calibration())
@@ -905,6 +907,7 @@ def oracle_sql() -> dict[str, str]:
     # sources
     q["normalize_newsapi"] = _with(f"select {_ROW} from newsapi", _ARTICLES, _NEWSAPI)
     q["normalize_rss"] = _with(f"select {_ROW} from rss", _ARTICLES, _RSS)
+    q["normalize_rss_capped"] = _with(f"select {_ROW} from rss where pos < 20", _ARTICLES, _RSS)
     q["normalize_av"] = _with(
         f"select {_ROW} from av", _ARTICLES, _AV)
     q["fetch_stats"] = _with(
@@ -935,6 +938,16 @@ def oracle_sql() -> dict[str, str]:
         "select ticker, count(*) as article_count, " + ", ".join(
             f"count(*) filter (ensemble_sentiment = '{s}') as {s}_count" for s in vocab.SENTIMENTS)
         + f" from {exploded} group by ticker")
+    # Rows of a ticker since its last silence of more than 200 seconds, if that is not over.
+    q["stream_ticker_ttl"] = _res(
+        f"select ticker, count(*) as article_count, " + ", ".join(
+            f"count(*) filter (ensemble_sentiment = '{s}') as {s}_count" for s in vocab.SENTIMENTS)
+        + f", {_iso('max(published_at)')} as updated_at from ("
+        "select *, sum(cut) over (partition by ticker order by published_at) as run, "
+        "sum(cut) over (partition by ticker) as runs from ("
+        "select *, (published_at - lag(published_at) over (partition by ticker order by published_at) > interval 200 second)::int as cut "
+        f"from {exploded})) where coalesce(run, 0) = coalesce(runs, 0) group by ticker "
+        "having max(published_at) >= (select as_of from now) - interval 200 second")
     q["stream_latest"] = _res(
         f"select article_hash, {_iso('published_at')} as published_at from (select * from results {_NEWEST} 1000)")
     q["stream_publish"] = _res(

@@ -708,26 +708,43 @@ def normalize_rss(spark: SparkSession, sf: str) -> DataFrame:
     return _article_rows(feeds.normalize_rss(pl.rss(spark, sf)))
 
 
+@query
+def normalize_rss_capped(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 20 items of each feed document."""
+    return _article_rows(feeds.normalize_rss(pl.rss(spark, sf), Params(feed_item_cap=20)))
+
+
 @query
 def normalize_av(spark: SparkSession, sf: str) -> DataFrame:
     return _article_rows(feeds.normalize_alpha_vantage(pl.alpha_vantage(spark, sf)))
 
 
-def _fetched(spark: SparkSession, sf: str) -> list[DataFrame]:
+def _fetched(spark: SparkSession, sf: str, params: Params = Params()) -> list[DataFrame]:
     return [
         feeds.normalize_newsapi(pl.newsapi(spark, sf)),
-        feeds.normalize_rss(pl.rss(spark, sf)),
+        feeds.normalize_rss(pl.rss(spark, sf), params),
         feeds.normalize_alpha_vantage(pl.alpha_vantage(spark, sf)),
     ]
 
 
-@query
-def fetch_all(spark: SparkSession, sf: str) -> DataFrame:
-    return feeds.fetch_all(_fetched(spark, sf)).select(
+def _fetched_rows(df: DataFrame) -> DataFrame:
+    return df.select(
         "source", "headline", "url", _time("published_at"), "body", "author", "content_hash"
     )
 
 
+@query
+def fetch_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _fetched_rows(feeds.fetch_all(_fetched(spark, sf)))
+
+
+@query
+def fetch_all_capped(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 20 items of each feed document, and of all unique articles the newest 100."""
+    capped = Params(feed_item_cap=20, fetch_cap=100)
+    return _fetched_rows(feeds.fetch_all(_fetched(spark, sf, capped), capped))
+
+
 @query
 def fetch_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Exact de-duplication across the three sources."""

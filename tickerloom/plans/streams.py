@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.functions.probability import rounded
@@ -14,7 +15,7 @@ from tickerloom.plans import payloads as pl
 from tickerloom.plans import views as vw
 from tickerloom.session import prepare, shared_dir
 from tickerloom.sources.topic import to_topic
-from tickerloom.streaming import jobs
+from tickerloom.streaming import jobs, keyed
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -76,36 +77,80 @@ def stream_hourly(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_FILES = 4
+_PARTS = 4
 
 
-def _raw_stream(spark: SparkSession, sf: str, path: str) -> DataFrame:
-    """All documents in arrival order, as four files that are read in one micro-batch each."""
-    docs = vw.as_raw_docs(vw.table(spark, sf, "documents"))
+def _in_parts(
+    rows: DataFrame, path: str, part: Column, job: Callable[[DataFrame], jobs.DataStreamWriter],
+    parts: Iterable[int] = range(_PARTS),
+) -> None:
+    """Run a stream over rows that arrive in numbered parts: for each part one run to the end of the
+    input, the later ones as restarts from the checkpoint.
+
+    The parts are written once, by all tasks; what arrives is a copy of one of them.
+    """
+    spark = rows.sparkSession
+    rows.withColumn("__part", part.cast("int")).write.partitionBy("__part").parquet(f"{path}/all")
+    stored = spark.read.parquet(f"{path}/all")
+    for k in parts:
+        stored.filter(F.col("__part") == k).drop("__part").write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+        _finish(job(stream), path)
+
+
+def _arriving(spark: SparkSession, sf: str) -> tuple[DataFrame, Column]:
+    """All documents with their arrival times, and the part of the arrivals that each belongs to."""
+    docs = vw.raw_docs(spark, sf)
     size = docs.agg(F.max("ordinal") + 1).first()[0] or 1
     after = F.floor(F.col("ordinal") * vw.ARRIVAL_SPAN / size)
     timed = docs.withColumn(
         "ingest_ts", F.timestamp_seconds(F.unix_timestamp(F.lit(vw.START)) + after)
     )
-    part = F.floor(F.col("ordinal") * _FILES / size)
-    for k in range(_FILES):
-        timed.filter(part == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    schema = spark.read.parquet(f"{path}/in").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    return timed, F.floor(F.col("ordinal") * _PARTS / size)
 
 
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     path = _place(spark, "dedup")
-    _finish(jobs.dedup_exact_stream(_raw_stream(spark, sf, path), path), path)
+    rows, part = _arriving(spark, sf)
+    # Stopped and restarted half-way.
+    half = F.floor(part / 2)
+    _in_parts(rows, path, half, lambda s: jobs.dedup_exact_stream(s, path), range(2))
     return spark.read.parquet(f"{path}/kept").select("ordinal", "content_hash")
 
 
 def stream_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     path = _place(spark, "near")
-    _finish(jobs.dedup_near_stream(_raw_stream(spark, sf, path), path), path)
+    rows, part = _arriving(spark, sf)
+    _in_parts(rows, path, part, lambda s: jobs.dedup_near_stream(s, path))
     return spark.read.parquet(f"{path}/kept").select("ordinal", "content_hash")
 
 
+#: Shorter than the four minutes after which a phrase comes round again.
+_TTL = 200
+
+
+def stream_ticker_ttl(spark: SparkSession, sf: str) -> DataFrame:
+    """Records that expire. The first quarter of the time is stored and loaded as initial state, the
+    other three arrive as micro-batches of their own."""
+    path = _place(spark, "ttl")
+    stored = vw.results(spark, sf).select("tickers", "ensemble_sentiment", "published_at")
+    span = stored.agg(F.unix_micros(F.min("published_at")).alias("low"), F.unix_micros(F.max("published_at")).alias("high")).first()
+    size = ((span.high or 0) - (span.low or 0)) // _PARTS + 1
+    part = F.floor((F.unix_micros("published_at") - F.lit(span.low)) / F.lit(size))
+    keyed.ticker_sessions(stored.filter(part == 0), _TTL).write.parquet(f"{path}/before")
+    initial = spark.read.parquet(f"{path}/before")
+    later = stored.filter(part > 0)
+    _in_parts(later, path, part, lambda s: jobs.ticker_record_stream(s, f"{path}/changes", _TTL, initial), range(1, _PARTS))
+    # A ticker that is not mentioned again has its initial record.
+    changes = spark.read.parquet(f"{path}/changes").unionByName(
+        initial.withColumns({"expired": F.lit(False), "batch_id": F.lit(-1)})
+    )
+    return keyed.alive_records(changes, vw.as_of(stored), _TTL).select(
+        "ticker", "article_count", "positive_count", "negative_count", "neutral_count",
+        F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss").alias("updated_at"),
+    )
+
+
 def stream_ticker_state(spark: SparkSession, sf: str) -> DataFrame:
     path = _place(spark, "tickers")
     now = F.timestamp_seconds(F.unix_timestamp(F.lit(vw.START)))
@@ -140,6 +185,6 @@ STREAM_QUERIES = {
     f.__name__: f
     for f in (
         stream_enrich, stream_dead_letters, stream_hourly, stream_dedup, stream_near_dedup,
-        stream_ticker_state, stream_latest, stream_publish,
+        stream_ticker_state, stream_ticker_ttl, stream_latest, stream_publish,
     )
 }

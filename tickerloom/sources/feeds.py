@@ -88,7 +88,7 @@ def normalize_newsapi(payloads: DataFrame) -> DataFrame:
 
 
 def normalize_rss(payloads: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Items of RSS payloads, the first `feed_item_cap` of each feed document.
+    """Items of RSS payloads: all, or with `feed_item_cap` the first of each feed document.
 
     `payloads` may carry `feed_url`, used where a feed has no title.
     """
@@ -97,10 +97,12 @@ def normalize_rss(payloads: DataFrame, params: Params = DEFAULTS) -> DataFrame:
         "payload_id", "ingest_ts", feed_url.alias("feed_url"),
         F.from_xml(F.col("payload"), RSS).getField("channel").alias("channel"),
     )
+    listed = F.col("channel.item")
+    if params.feed_item_cap is not None:
+        listed = F.slice(listed, 1, params.feed_item_cap)
     items = parsed.select(
         "payload_id", "ingest_ts",
-        F.coalesce("channel.title", "feed_url").alias("feed"),
-        F.posexplode(F.slice("channel.item", 1, params.feed_item_cap)),
+        F.coalesce("channel.title", "feed_url").alias("feed"), F.posexplode(listed),
     )
     c = F.col("col")
 
@@ -154,11 +156,9 @@ def fetch_unique(sources: Sequence[DataFrame], params: Params = DEFAULTS) -> Dat
 
 
 def fetch_all(sources: Sequence[DataFrame], params: Params = DEFAULTS) -> DataFrame:
-    """The newest `fetch_cap` unique articles."""
-    unique = fetch_unique(sources, params)
-    return unique.orderBy(F.col("published_at").desc_nulls_last(), "arrival").limit(
-        params.fetch_cap
-    )
+    """Unique articles, newest first: all, or with `fetch_cap` so many."""
+    ordered = fetch_unique(sources, params).orderBy(F.col("published_at").desc_nulls_last(), "arrival")
+    return ordered if params.fetch_cap is None else ordered.limit(params.fetch_cap)
 
 
 def fetch_stats(fetched: DataFrame, kept: DataFrame, errors: DataFrame | None = None) -> DataFrame:

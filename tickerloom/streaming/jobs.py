@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +30,8 @@ from tickerloom.params import DEFAULTS, Params
 from tickerloom.session import prepare, spread
 from tickerloom.sources.tables import absent_only, append_by_date, read_table
 from tickerloom.sources.topic import dead_letters, decode, decoded_articles, status
+from tickerloom.streaming.bands import keep_in_window
+from tickerloom.streaming.keyed import first_in_window, ticker_records
 
 # Articles of a batch to (score table, pass table).
 Scorer = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
@@ -160,83 +161,21 @@ def read_hourly(spark: SparkSession, path: str) -> DataFrame:
 # --- de-duplication ------------------------------------------------------------------------------------
 
 
-def _slice(ts: str, params: Params) -> Column:
-    return F.floor(F.unix_micros(ts) / F.lit(params.dedup_window_seconds * 1_000_000))
-
-
-def _dedup_in_windows(
-    rows: DataFrame, path: str, batch_id: int, ts: str, params: Params,
-    blocked_until: Callable[[DataFrame, DataFrame], DataFrame],
-    key: str, first_only: Callable[[DataFrame], DataFrame],
-) -> DataFrame:
-    """Rows kept by the rule: a kept row blocks its copies that arrive within one window after it.
-
-    Time is cut into slices of one window. Rows of a slice are less than a window apart, so after
-    those that earlier keepers still block are gone, `first_only` thins a slice without regard to
-    time; a copy that is itself blocked prolongs nothing. `blocked_until(rows, seen)` gives per `key`
-    the newest `ts` of the keepers it meets. Slices run in order, one or two in a usual batch, and one
-    per window in a backfill, so batch boundaries do not matter where arrivals come in time order.
-    Keepers are stored by day and batch under `path`, where a replayed batch overwrites its own.
-    """
-    spark = rows.sparkSession
-    window = F.make_interval(secs=F.lit(params.dedup_window_seconds))
-    stored = read_table(spark, path)
-    cut = rows.withColumn("__slice", _slice(ts, params))
-    spans = cut.groupBy("__slice").agg(F.min(ts).alias("low")).orderBy("__slice").collect()
-    own: list[DataFrame] = []
-    for span in spans:
-        horizon = F.lit(span.low) - window
-        names = [*rows.columns]
-        seen = [k.filter(F.col(ts) > horizon) for k in own[-1:]]
-        if stored is not None:
-            seen.append(
-                stored.filter(
-                    (F.col(_BATCH) < batch_id) & (F.col("day") >= F.to_date(horizon))
-                    & (F.col(ts) > horizon)
-                ).select(*names)
-            )
-        left = cut.filter(F.col("__slice") == span["__slice"]).drop("__slice")
-        if seen:
-            until = blocked_until(left, reduce(DataFrame.unionByName, seen)).alias("u")
-            left = left.alias("l").join(
-                until,
-                (F.col(f"l.{key}") == F.col(f"u.{key}"))
-                & (F.col(f"l.{ts}") < F.col("u.newest") + window),
-                "left_anti",
-            ).checkpoint()
-        own.append(first_only(left).select(*names).checkpoint())
-    kept = reduce(DataFrame.unionByName, own) if own else rows.limit(0)
-    (
-        kept.select("*", F.to_date(ts).alias("day"), F.lit(batch_id).alias(_BATCH))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("day", _BATCH).parquet(path)
-    )
-    return kept
-
-
 def dedup_exact_stream(
     articles: DataFrame, path: str, ts: str = "ingest_ts", arrival: str = "ordinal",
     params: Params = DEFAULTS,
 ) -> DataStreamWriter:
     """First arrival per hash; a hash is remembered for the window, not refreshed by copies.
 
-    `path/hashes` holds hash, arrival and time of what was kept, `path/kept` the articles. The window
-    is measured between the rows' own times, so no row is late and none is held in stream state.
+    `path/kept` holds hash, arrival and time of what was kept. The window is measured between the rows'
+    own times; what is remembered is keyed state, so a batch costs one pass over its own rows.
     """
-    def newest(rows: DataFrame, seen: DataFrame) -> DataFrame:
-        return seen.groupBy("content_hash").agg(F.max(ts).alias("newest"))
+    kept = first_in_window(articles, ts, arrival, params)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        prepare(batch.sparkSession)
-        batch = spread(batch)
-        hashes = batch.select("content_hash", arrival, ts).checkpoint()
-        kept = _dedup_in_windows(
-            hashes, f"{path}/hashes", batch_id, ts, params, newest, "content_hash",
-            lambda rows: dd.dedup_exact(rows, arrival=arrival),
-        )
-        _write_batch(batch.join(kept.select(arrival), arrival, "left_semi"), f"{path}/kept", batch_id)
+        _write_batch(batch, f"{path}/kept", batch_id)
 
-    return articles.writeStream.foreachBatch(handle)
+    return kept.writeStream.outputMode("append").foreachBatch(handle)
 
 
 def dedup_near_stream(
@@ -245,18 +184,10 @@ def dedup_near_stream(
 ) -> DataStreamWriter:
     """Exact and near de-duplication against what was kept in the window.
 
-    `path/prints` holds hash, fingerprint and time of kept articles by day and batch, so the window
-    prunes days and old days may be removed; `path/kept` holds the articles. Equal hashes mean equal
-    headlines, so the fingerprint, computed once per hash, decides exact copies too.
+    `path/bands` holds the bands of kept fingerprints by day and batch, so the window prunes days and old
+    days may be removed; `path/kept` holds the articles. Equal hashes mean equal headlines, so the
+    fingerprint, computed once per hash, decides exact copies too.
     """
-    def newest(rows: DataFrame, seen: DataFrame) -> DataFrame:
-        latest = seen.groupBy("fp").agg(F.max(ts).alias("newest"))
-        pairs = dd.near_pairs(
-            rows.select("fp").distinct(), latest.select("fp"), max_distance=params.near_distance
-        )
-        met = pairs.join(latest.withColumnRenamed("fp", "fp_b"), "fp_b")
-        return met.groupBy(F.col("fp_a").alias("fp")).agg(F.max("newest").alias("newest"))
-
     def handle(batch: DataFrame, batch_id: int) -> None:
         prepare(batch.sparkSession)
         batch = spread(batch)
@@ -264,10 +195,7 @@ def dedup_near_stream(
             "content_hash", simhash64(F.col("headline")).alias("fp")
         )
         prints = batch.select("content_hash", arrival, ts).join(by_hash, "content_hash").checkpoint()
-        kept = _dedup_in_windows(
-            prints, f"{path}/prints", batch_id, ts, params, newest, "fp",
-            lambda rows: dd.thin(dd.dedup_exact(rows, "fp", arrival), params, arrival),
-        )
+        kept = keep_in_window(prints.drop("content_hash"), f"{path}/bands", batch_id, ts, arrival, params)
         _write_batch(batch.join(kept.select(arrival), arrival, "left_semi"), f"{path}/kept", batch_id)
 
     return articles.writeStream.foreachBatch(handle)
@@ -297,6 +225,18 @@ def ticker_state_stream(
     return results.writeStream.foreachBatch(handle)
 
 
+def ticker_record_stream(
+    results: DataFrame, path: str, ttl_seconds: int = DEFAULTS.ticker_ttl_seconds, initial: DataFrame | None = None
+) -> DataStreamWriter:
+    """Records of tickers with a time to live in event time; each batch stores those that it changed."""
+    changed = ticker_records(results, ttl_seconds, initial)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        _write_batch(batch, path, batch_id)
+
+    return changed.writeStream.outputMode("update").foreachBatch(handle)
+
+
 def ticker_changes(batch: DataFrame) -> DataFrame:
     """The batch's own aggregates with the sums that cumulative shares need."""
     sums = (
