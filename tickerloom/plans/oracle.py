@@ -698,6 +698,8 @@ def oracle_sql() -> dict[str, str]:
     q["recent"] = _res(
         f"select {_BRIEF} from (select results.* from results, now where published_at >= as_of - interval 1 hour {_NEWEST} 500)"
     )
+    q["insert_indexed"] = _res(
+        f"select article_hash, ensemble_sentiment, {_iso('published_at')} as published_at from results")
     q["by_ticker"] = _res(f"select {_BRIEF} from {_ticker_rows('AAPL', 24)}")
     q["dashboard_filter"] = _res(
         f"select {_BRIEF} from results, now where published_at >= as_of - interval 6 hour "

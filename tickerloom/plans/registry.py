@@ -25,7 +25,7 @@ from tickerloom.plans import payloads as pl
 from tickerloom.plans import toymodels as toy
 from tickerloom.plans import views as vw
 from tickerloom.session import shared_dir
-from tickerloom.sources import feeds, tables, topic
+from tickerloom.sources import feeds, keyindex, tables, topic
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -243,6 +243,19 @@ def _brief(df: DataFrame) -> DataFrame:
     )
 
 
+@query
+def insert_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Three overlapping batches through the key index and the commit log, the second delivered twice."""
+    stored = vw.results(spark, sf)
+    path = shared_dir(spark, "indexed", uuid.uuid4().hex)
+    ident = vw.doc_id() % 4
+    batches = [ident.isin(0, 1), ident.isin(1, 2), ident.isin(1, 2), ident.isin(0, 2, 3)]
+    for batch_id, rows in zip((0, 1, 1, 2), batches):
+        keyindex.insert_absent(stored.filter(rows), path, batch_id, buckets=32)
+    found = keyindex.read_inserted(spark, path)
+    return found.select("article_hash", "ensemble_sentiment", _time("published_at"))
+
+
 @query
 def recent(spark: SparkSession, sf: str) -> DataFrame:
     stored = vw.results(spark, sf)

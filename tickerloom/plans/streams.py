@@ -66,17 +66,6 @@ def stream_dead_letters(spark: SparkSession, sf: str) -> DataFrame:
     return dead.groupBy("_dlq_reason").agg(F.count("*").alias("messages"))
 
 
-def stream_hourly(spark: SparkSession, sf: str) -> DataFrame:
-    path = _place(spark, "hourly")
-    _finish(jobs.hourly_stream(_result_stream(spark, sf), f"{path}/log"), path)
-    found = jobs.read_hourly(spark, f"{path}/log")
-    return found.select(
-        F.date_format("bucket", "yyyy-MM-dd'T'HH:mm:ss").alias("bucket"), "source",
-        "ensemble_sentiment", "article_count",
-        *[rounded(F.col(c), 6).alias(c) for c in AVERAGES],
-    )
-
-
 _PARTS = 4
 
 
@@ -98,6 +87,22 @@ def _in_parts(
         _finish(job(stream), path)
 
 
+def stream_hourly(spark: SparkSession, sf: str) -> DataFrame:
+    """Four micro-batches in order of time, merged after two of them; hours lie in two parts."""
+    path = _place(spark, "hourly")
+    stored = vw.results(spark, sf)
+    ident = vw.doc_id()
+    size = stored.agg(F.max(ident) + 1).first()[0] or 1
+    part = F.floor(ident * _PARTS / size)
+    _in_parts(stored, path, part, lambda s: jobs.hourly_stream(s, f"{path}/log", compact_every=2))
+    found = jobs.read_hourly(spark, f"{path}/log")
+    return found.select(
+        F.date_format("bucket", "yyyy-MM-dd'T'HH:mm:ss").alias("bucket"), "source",
+        "ensemble_sentiment", "article_count",
+        *[rounded(F.col(c), 6).alias(c) for c in AVERAGES],
+    )
+
+
 def _arriving(spark: SparkSession, sf: str) -> tuple[DataFrame, Column]:
     """All documents with their arrival times, and the part of the arrivals that each belongs to."""
     docs = vw.raw_docs(spark, sf)

@@ -28,6 +28,7 @@ from tickerloom.operators.rollups import (
 from tickerloom.operators.scoring import predict
 from tickerloom.params import DEFAULTS, Params
 from tickerloom.session import prepare, spread
+from tickerloom.sources import commitlog
 from tickerloom.sources.tables import absent_only, append_by_date, read_table
 from tickerloom.sources.topic import dead_letters, decode, decoded_articles, status
 from tickerloom.streaming.bands import keep_in_window
@@ -137,25 +138,42 @@ def read_latest(spark: SparkSession, path: str) -> DataFrame | None:
 # --- hourly rollup -----------------------------------------------------------------------------------
 
 
-def hourly_stream(results: DataFrame, path: str, late: str = "2 hours") -> DataStreamWriter:
-    """Tumbling hourly counts and sums; each batch appends the groups it changed."""
+_SUMS = ("article_count", *[n.replace("avg_", "sum_") for n in AVERAGES])
+
+
+def hourly_stream(
+    results: DataFrame, path: str, late: str = "2 hours", compact_every: int = 16
+) -> DataStreamWriter:
+    """Tumbling hourly counts and sums; each batch commits the groups it changed.
+
+    After every `compact_every` batches they are merged into a new base of one row per group, so a
+    reader meets the base and fewer than that many changes, however long the stream has run.
+    """
     bucket = F.window("published_at", "1 hour").getField("start")
     summed = hourly_partials(results.withWatermark("published_at", late), bucket)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch, path, batch_id)
+        spark = batch.sparkSession
+        commitlog.append(batch.withColumn(_BATCH, F.lit(batch_id)), path, batch_id)
+        if commitlog.pending(spark, path) >= compact_every:
+            compact_hourly(spark, path)
 
     return summed.writeStream.outputMode("update").foreachBatch(handle)
 
 
+def _newest_state(log: DataFrame) -> DataFrame:
+    newest = log.groupBy(*ROLLUP_KEYS).agg(F.max(F.struct(_BATCH, *_SUMS)).alias("state"))
+    return newest.select(*ROLLUP_KEYS, *[f"state.{c}" for c in (_BATCH, *_SUMS)])
+
+
+def compact_hourly(spark: SparkSession, path: str) -> None:
+    commitlog.compact(spark, path, _newest_state)
+    commitlog.forget(spark, path)
+
+
 def read_hourly(spark: SparkSession, path: str) -> DataFrame:
-    """The rollup: the newest state of every group over all appended batches."""
-    log = spark.read.parquet(path)
-    sums = ["article_count", *[n.replace("avg_", "sum_") for n in AVERAGES]]
-    newest = log.groupBy(*ROLLUP_KEYS).agg(
-        F.max(F.struct(_BATCH, *sums)).alias("state")
-    )
-    return merge_partials(newest.select(*ROLLUP_KEYS, *[F.col(f"state.{c}") for c in sums]))
+    """The rollup: the newest state of every group in the base and the batches after it."""
+    return merge_partials(_newest_state(commitlog.read(spark, path)).drop(_BATCH))
 
 
 # --- de-duplication ------------------------------------------------------------------------------------
