@@ -36,6 +36,8 @@ class NearRules:
     short_list: int = 16
     #: Lists longer than this are cut by a second shared value before their texts meet.
     split_list: int = 10_000
+    #: Texts of a block whose sets meet those of another block in one task.
+    block: int = 512
     #: Cells of the fixed-size table that orders values by how many sketches hold them.
     cells: int = 1 << 18
 
@@ -231,16 +233,46 @@ def _alike(rules: NearRules) -> Column:
     return sizes & (apart <= differ * filled + _SLACK * F.sqrt(differ * (1 - differ) * filled) + 1)
 
 
-def _linked(rules: NearRules) -> Column:
-    """Estimate on the union of two sketches, then the exact test on the full sets s1 and s2."""
-    k = rules.sketch
-    k1, k2 = F.slice("s1", 1, k), F.slice("s2", 1, k)
-    union = F.slice(F.array_sort(F.array_union(k1, k2)), 1, k)
-    both = F.size(F.array_intersect(union, F.array_intersect(k1, k2)))
-    likely = both * 2 >= F.size(union)
-    shared = F.size(F.array_intersect("s1", "s2")).cast("long")
-    whole = F.size("s1") + F.size("s2") - shared
-    return likely & (shared * 100 >= whole * rules.percent)
+def _similar(s1: np.ndarray, s2: np.ndarray, rules: NearRules) -> bool:
+    """Estimate on the union of two sketches, then the exact test on the full sets, which are sorted."""
+    k1, k2 = s1[: rules.sketch], s2[: rules.sketch]
+    both = np.intersect1d(k1, k2, assume_unique=True)
+    union = np.union1d(k1, k2)[: rules.sketch]
+    if not len(union) or 2 * np.searchsorted(both, union[-1], side="right") < len(union):
+        return False
+    shared = len(np.intersect1d(s1, s2, assume_unique=True))
+    return 100 * shared >= rules.percent * (len(s1) + len(s2) - shared)
+
+
+def _linked_pairs(pairs: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
+    """The pairs (a, b) whose full sets (id, s) are similar enough.
+
+    Texts are dealt to blocks of about `block`. A set goes once to each block that it has a partner in, not
+    once to each partner, so many pairs around few texts move few sets; a group of two blocks is of bounded
+    size whatever the number of pairs.
+    """
+    key = sets.schema["id"].dataType.simpleString()
+    blocks = sets.count() // rules.block + 1
+
+    def block(c: str) -> Column:
+        return F.pmod(F.xxhash64(c, F.lit(3)), F.lit(blocks)).cast("int")
+
+    dealt = pairs.withColumns({"x": block("a"), "y": block("b")})
+    wanted = dealt.select("x", "y", "a").union(dealt.select("x", "y", "b")).distinct().toDF("p", "q", "id")
+    moved = wanted.join(sets, "id")
+
+    def verify(held: pa.Table, asked: pa.Table) -> pa.Table:
+        lists = held.column("s").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        values, ends = np.asarray(lists.flatten()), np.asarray(lists.offsets)
+        ends = ends - ends[0]
+        place = {k: i for i, k in enumerate(held.column("id").to_pylist())}
+        own = lambda k: values[ends[place[k]] : ends[place[k] + 1]]
+        pairs = zip(asked.column("a").to_pylist(), asked.column("b").to_pylist())
+        kept = [_similar(own(a), own(b), rules) for a, b in pairs]
+        return asked.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return moved.groupBy("p", "q").cogroup(dealt.groupBy("x", "y")).applyInArrow(verify, f"a {key}, b {key}")
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, rules: NearRules, id_col: str) -> DataFrame:
@@ -264,8 +296,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, rules: NearRules, id_col: str)
     """The pairs (a, b) whose full sets are similar enough."""
     ids = pairs.select("a").union(pairs.select("b")).distinct()
     sets = _full_sets(docs, ids, rules, id_col).checkpoint()
-    held = pairs.join(sets.toDF("a", "s1"), "a").join(sets.toDF("b", "s2"), "b")
-    return held.filter(_linked(rules)).select("a", "b").distinct()
+    return _linked_pairs(pairs, sets, rules).distinct()
 
 
 def near_links(docs: DataFrame, distinct: DataFrame, rules: NearRules, id_col: str) -> DataFrame:
@@ -357,9 +388,8 @@ def _linked_by_prefix(docs: DataFrame, chosen: DataFrame, rules: NearRules, id_c
     behind = F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2"))
     enough = behind * (100 + rules.percent) >= (F.col("n") + F.col("n2")) * rules.percent
     pairs = led.filter("c <> main").join(other, "v").filter((F.col("c") != F.col("c2")) & enough)
-    pairs = pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-    full = sets.select("rep", "s")
-    return pairs.join(full.toDF("a", "s1"), "a").join(full.toDF("b", "s2"), "b").filter(_linked(rules)).select("a", "b").distinct()
+    pairs = pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct().checkpoint()
+    return _linked_pairs(pairs, sets.select(F.col("rep").alias("id"), "s").distinct(), rules)
 
 
 def _split(lists: DataFrame, distinct: DataFrame) -> DataFrame:
