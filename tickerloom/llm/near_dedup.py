@@ -162,9 +162,12 @@ def _distinct_sets(made: DataFrame, rules: NearRules) -> DataFrame:
     ordered = made.select(*names, "sketch").filter("n > 0").mapInArrow(
         order, f"id {key}, n long, set_a long, set_b long, sign_a long, sign_b long, prefix array<long>"
     )
-    return ordered.groupBy("set_a", "set_b", "n").agg(
+    distinct = ordered.groupBy("set_a", "set_b", "n").agg(
         F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("sign_a", "sign_b", "prefix")]
     )
+    distinct = distinct.checkpoint()
+    table.destroy()
+    return distinct
 
 
 _TEXT = ("rep", "n", "sign_a", "sign_b")
@@ -203,7 +206,10 @@ def _postings(distinct: DataFrame, rules: NearRules) -> DataFrame:
             )
 
     schema = f"v long, rep {key}, n long, sign_a long, sign_b long, long boolean"
-    return distinct.select(*_TEXT, "prefix").mapInArrow(emit, schema)
+    postings = distinct.select(*_TEXT, "prefix").mapInArrow(emit, schema).checkpoint()
+    shared.destroy()
+    large.destroy()
+    return postings
 
 
 def _needed(n: int, rules: NearRules) -> int:
@@ -307,7 +313,7 @@ def near_links(docs: DataFrame, distinct: DataFrame, rules: NearRules, id_col: s
     Texts still apart are told from each other in two ways: those around one pivot by the leading
     values of their full sets, others by signature.
     """
-    postings = _postings(distinct, rules).checkpoint()
+    postings = _postings(distinct, rules)
     short = postings.filter("NOT long")
     pairs = short.join(_second(short), "v").filter((F.col("rep") < F.col("b")) & _alike(rules))
     pairs = pairs.select(F.col("rep").alias("a"), "b")
@@ -383,6 +389,7 @@ def _linked_by_prefix(docs: DataFrame, chosen: DataFrame, rules: NearRules, id_c
     held = led.groupBy("v", "c").agg(F.count(F.lit(1)).alias("k"))
     most = held.groupBy("v").agg(F.max(F.struct("k", "c")).alias("most"), F.count(F.lit(1)).alias("cs")).filter("cs > 1")
     led = led.join(most.select("v", F.col("most.c").alias("main")), "v").checkpoint()
+    table.destroy()
     # Two texts of a list's main component need no link, so one of a pair is always outside of it.
     other = led.select("v", F.col("rep").alias("b"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("i").alias("i2"))
     behind = F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2"))
@@ -423,7 +430,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", rules: NearRules =
     own = docs.filter(F.col(id_col).isNotNull())
     made = sketches(docs, rules, id_col).checkpoint()
     shared = ["set_a", "set_b", "n"]
-    reps = _distinct_sets(made, rules).checkpoint()
+    reps = _distinct_sets(made, rules)
     links = near_links(own, reps.filter("rep IS NOT NULL"), rules, id_col)
     found = components(links)
     classes = reps.select(*shared, "rep").join(found, F.col("rep") == F.col("node"), "left")
