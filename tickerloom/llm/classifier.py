@@ -8,9 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickerloom.llm.labels import held_out
 from tickerloom.llm.quality import SYMBOLS, repeated_lines, repeated_words
 from tickerloom.llm.words import WHITE, Texts, byte_class, text_slices, totals, words_of
 from tickerloom.session import prepare
@@ -175,9 +176,9 @@ def _best_split(binned, g, h, edges, l2, least):
     return where
 
 
-def held_out(doc_id: Column) -> Column:
-    """Rows never learned from: crc32 of the id as text leaves 1 when divided by 3. Null: False."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+def _hash_limit(share: float) -> int:
+    """The signed 64-bit number below which about `share` of evenly spread hashes lie."""
+    return int(min(share, 1.0) * (2**64 - 1)) - 2**63
 
 
 def train(
@@ -185,21 +186,31 @@ def train(
 ) -> Forest:
     """Fit on at most `max_rows` labelled rows that are not held out.
 
-    The rows are those with the smallest hash of the id, so a run is repeatable. Labels other than 0
-    and 1 are left out; of several labels for one id the largest counts.
+    The rows are those with the smallest hash of id and statistics, so a run is repeatable; rows equal in
+    both count once. Labels other than 0 and 1 are left out; of several labels for one id the largest
+    counts. Hashes are evenly spread, so those above a limit set from the number of rows are left out
+    before the sort: the driver receives little more than `max_rows` rows from any number of tasks.
     """
     own = (
         labels.filter(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)) & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("__id"))
         .agg(F.max(label_col).alias("y"))
     )
-    chosen = (
+    labelled = (
         x.join(own, x[id_col] == own["__id"])
-        .select("x", "y", F.xxhash64("__id").alias("o"))
-        .orderBy("o", "x", "y")
-        .limit(max_rows)
-        .toPandas()
+        .select("x", "y", F.xxhash64("__id", "x").alias("o"))
+        .distinct()
+        .checkpoint()
     )
+    total, share = labelled.count(), 1.0
+    near = labelled
+    if total > max_rows:
+        share = 1.2 * max_rows / total
+        near = labelled.filter(F.col("o") < _hash_limit(share))
+        while near.count() < max_rows:
+            share *= 2
+            near = labelled.filter(F.col("o") < _hash_limit(share)) if share < 1 else labelled
+    chosen = near.orderBy("o", "x", "y").limit(max_rows).toPandas()
     rows = np.array(chosen["x"].tolist(), dtype=float).reshape(len(chosen), len(STATISTICS))
     return fit_forest(rows, chosen["y"].to_numpy(dtype=float))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.membership import bitmap, maybe_members
+from tickerloom.llm.membership import bitmap, fresh, maybe_members
 from tickerloom.session import prepare
 
 
@@ -95,12 +95,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows to drop are found by id and content, so a row that repeats an id with another text is judged
     by its own text.
     """
+    own, gone_id, gone_sha = (fresh(n, docs) for n in ("__own", "__id", "__sha"))
     verdict = copy_groups(docs, id_col, text_col).filter("NOT kept")
-    gone = verdict.select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct().checkpoint()
-    bits = bitmap(gone, F.col("__sha")).checkpoint()
-    keyed = docs.withColumn("__own", F.sha2(one_space(F.col(text_col)), 256))
-    clean = maybe_members(keyed, F.col("__own"), bits, absent=True)
-    rest = maybe_members(keyed, F.col("__own"), bits).join(
-        gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_anti"
+    gone = verdict.select(F.col(id_col).alias(gone_id), F.col("text_sha256").alias(gone_sha)).distinct().checkpoint()
+    bits = bitmap(gone, F.col(gone_sha)).checkpoint()
+    keyed = docs.withColumn(own, F.sha2(one_space(F.col(text_col)), 256))
+    clean = maybe_members(keyed, F.col(own), bits, absent=True)
+    rest = maybe_members(keyed, F.col(own), bits).join(
+        gone, F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_sha)), "left_anti"
     )
-    return clean.unionByName(rest).drop("__own")
+    return clean.unionByName(rest).drop(own)

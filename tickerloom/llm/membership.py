@@ -15,6 +15,14 @@ from pyspark.sql import functions as F
 ROWS = 1 << 17
 
 
+def fresh(name: str, *tables: DataFrame) -> str:
+    """A working column's name that no column of the tables has, in either case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _place(key: Column) -> tuple[Column, Column]:
     spread = F.xxhash64(key, F.lit(17))
     slot = F.shiftrightunsigned(spread, 47).cast("int")
@@ -33,12 +41,12 @@ def bitmap(keys: DataFrame, key: Column) -> DataFrame:
 def maybe_members(df: DataFrame, key: Column, bits: DataFrame, absent: bool = False) -> DataFrame:
     """Rows whose key may be in the set; with `absent`, those whose key surely is not."""
     slot, bit = _place(key)
-    joined = df.withColumns({"__at": slot, "__bit": bit}).join(
-        F.broadcast(bits.withColumnRenamed("__slot", "__s")), F.col("__at") == F.col("__s"), "left"
-    )
-    shifted = F.call_function("shiftrightunsigned", F.col("__mask"), F.col("__bit"))
+    at, place, row, mask = (fresh(n, df) for n in ("__at", "__bit", "__row", "__mask"))
+    table = bits.select(F.col("__slot").alias(row), F.col("__mask").alias(mask))
+    joined = df.withColumns({at: slot, place: bit}).join(F.broadcast(table), F.col(at) == F.col(row), "left")
+    shifted = F.call_function("shiftrightunsigned", F.col(mask), F.col(place))
     inside = F.coalesce(shifted.bitwiseAND(F.lit(1)) == 1, F.lit(False))
-    return joined.filter(~inside if absent else inside).drop("__at", "__bit", "__s", "__mask")
+    return joined.filter(~inside if absent else inside).drop(at, place, row, mask)
 
 
 #: The bitmap that numpy code reads has 2^25 bits, 4 MB. More keys call for more.

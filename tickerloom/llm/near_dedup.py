@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.llm.components import components
-from tickerloom.llm.membership import bit_array, bitmap, in_bits, maybe_members
+from tickerloom.llm.membership import bit_array, bitmap, fresh, in_bits, maybe_members
 from tickerloom.llm.words import Texts, mix, text_slices, words_of
 from tickerloom.session import prepare
 
@@ -446,11 +446,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", rules: NearRules =
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", rules: NearRules = NearRules()) -> DataFrame:
     """All columns of the rows whose document stays."""
-    gone = near_duplicates(docs, id_col, rules).filter("NOT kept").select(F.col(id_col).alias("__id")).distinct()
+    gone_id = fresh("__id", docs)
+    gone = near_duplicates(docs, id_col, rules).filter("NOT kept").select(F.col(id_col).alias(gone_id)).distinct()
     gone = gone.checkpoint()
-    bits = bitmap(gone, F.col("__id")).checkpoint()
+    bits = bitmap(gone, F.col(gone_id)).checkpoint()
     clean = maybe_members(docs, F.col(id_col), bits, absent=True)
     rest = maybe_members(docs, F.col(id_col), bits).join(
-        gone, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti"
+        gone, F.col(id_col).eqNullSafe(F.col(gone_id)), "left_anti"
     )
     return clean.unionByName(rest)

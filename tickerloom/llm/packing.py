@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickerloom.llm.membership import fresh
 from tickerloom.llm.words import WHITE, Texts, byte_values, span_hashes, text_slices, totals
 from tickerloom.session import prepare
 
@@ -237,13 +238,16 @@ def pack(pieces: DataFrame, rules: PackRules = PackRules()) -> DataFrame:
     """The pieces with sequence_id and offset; lengths are 1 to the capacity, null lengths are refused.
 
     Pieces are dealt at random into groups of about `rules.group`, each packed by one task with the
-    rule above in descending order of length; ties go by the order of all columns, so a repeated run
-    gives the same layout. Groups do not share sequences, which costs some part-filled ones each.
+    rule above in descending order of length. Equal rows are dealt apart by their place in the stored
+    input, so that a row repeated often fills no group; a task that runs again deals alike. Groups do not
+    share sequences, which costs some part-filled ones each.
     """
+    prepare(pieces.sparkSession)
+    pieces = pieces.checkpoint()
     total = pieces.count()
     groups = max(1, -(-total // rules.group))
-    names = [c for c in pieces.columns]
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(*names), F.lit(groups)))
+    names, group = list(pieces.columns), fresh("__group", pieces)
+    dealt = pieces.withColumn(group, F.pmod(F.xxhash64(*names, F.monotonically_increasing_id()), F.lit(groups)))
 
     def fill(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", *[c for c in names if c != "length"]], ascending=[False, *[True] * (len(names) - 1)])
@@ -251,7 +255,7 @@ def pack(pieces: DataFrame, rules: PackRules = PackRules()) -> DataFrame:
         return frame[names].assign(sequence_id=bins + (int(key[0]) << 32), offset=offsets)
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return dealt.groupBy("__group").applyInPandas(fill, f"{kept}, sequence_id long, offset long")
+    return dealt.groupBy(group).applyInPandas(fill, f"{kept}, sequence_id long, offset long")
 
 
 def pack_documents(
@@ -259,7 +263,7 @@ def pack_documents(
 ) -> DataFrame:
     """Tokenize, cut and pack: (id, piece, start, length, ids_crc32, sequence_id, offset)."""
     prepare(docs.sparkSession)
-    return pack(token_pieces(docs, tokenizer_json, rules, id_col).checkpoint(), rules)
+    return pack(token_pieces(docs, tokenizer_json, rules, id_col), rules)
 
 
 def sequences(
