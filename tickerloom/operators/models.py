@@ -19,6 +19,47 @@ EntityFn = Callable[[str], Sequence[Mapping[str, object]]]
 # Text in, best label out: a phrase naming high, medium or low impact.
 ImpactFn = Callable[[str], str]
 
+# The same for lists: one answer per text, in order.
+EntityBatchFn = Callable[[Sequence[str]], Sequence[Sequence[Mapping[str, object]]]]
+ImpactBatchFn = Callable[[Sequence[str]], Sequence[str]]
+BATCH_SIZE = 32
+
+
+def answers(model_fn: Callable[[list[str]], Sequence], texts: list[str], size: int, failed: object) -> list:
+    """One answer per text, asked for `size` texts at a time; `failed` where the model fails.
+
+    A batch that fails, or has another number of answers, is halved until the texts at fault are
+    alone, so one bad text costs its neighbours nothing.
+    """
+    out: list = []
+    waiting = [texts[at : at + size] for at in range(0, len(texts), size)][::-1]
+    while waiting:
+        batch = waiting.pop()
+        try:
+            found = list(model_fn(batch))
+            if len(found) != len(batch):
+                raise ValueError(f"{len(found)} answers for {len(batch)} texts")
+        except Exception:
+            if len(batch) == 1:
+                out.append(failed)
+            else:
+                middle = len(batch) // 2
+                waiting += [batch[middle:], batch[:middle]]
+        else:
+            out += found
+    return out
+
+
+def asked_in_batches(
+    values: pd.Series, asked: pd.Series, model_fn: Callable[[list[str]], Sequence], size: int, failed: object
+) -> pd.Series:
+    """`answers` for the texts of a series where `asked` holds, null for the others."""
+    out = pd.Series([None] * len(values), index=values.index, dtype=object)
+    given = [i for i, wanted in enumerate(asked) if wanted]
+    for i, answer in zip(given, answers(model_fn, [values.iat[i] for i in given], size, failed)):
+        out.iat[i] = answer
+    return out
+
 
 def keep_confident(entities: Column, min_score: float) -> Column:
     """Mentions scored above the bound, scores to 4 places."""
@@ -28,12 +69,27 @@ def keep_confident(entities: Column, min_score: float) -> Column:
     )
 
 
+def _one_model(model_fn: object, batch_fn: object, batch_size: int) -> None:
+    if model_fn is not None and batch_fn is not None:
+        raise ValueError("give a model for one text or one for lists, not both")
+    if batch_size < 1:
+        raise ValueError(f"a batch holds at least one text, got {batch_size}")
+
+
 def with_entities(
-    articles: DataFrame, model_fn: EntityFn | None = None, params: Params = DEFAULTS
+    articles: DataFrame,
+    model_fn: EntityFn | None = None,
+    params: Params = DEFAULTS,
+    batch_fn: EntityBatchFn | None = None,
+    batch_size: int = BATCH_SIZE,
 ) -> DataFrame:
-    """Add `entities` found in the headline; none for a blank one or where the model fails."""
+    """Add `entities` found in the headline; none for a blank one or where the model fails.
+
+    The model is a function of one text, or `batch_fn` of up to `batch_size` texts at a time.
+    """
+    _one_model(model_fn, batch_fn, batch_size)
     kind = T.ArrayType(ENTITY)
-    if model_fn is None:
+    if model_fn is None and batch_fn is None:
         return articles.withColumn("entities", F.array().cast(kind))
     fields = ENTITY.fieldNames()
 
@@ -45,35 +101,57 @@ def with_entities(
         except Exception:
             return []
 
+    def batch_mentions(texts: list[str]) -> list[list[tuple]]:
+        return [[tuple(m[f] for f in fields) for m in found] for found in batch_fn(texts)]
+
     @F.pandas_udf(kind)
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(mentions)
+            if batch_fn is None:
+                yield batch.map(mentions)
+            else:
+                told = asked_in_batches(batch, batch.fillna("") != "", batch_mentions, batch_size, failed=[])
+                yield told.map(lambda mentions: [] if mentions is None else mentions)
 
     raw = articles.withColumn("entities", found("headline"))
     return raw.withColumn("entities", keep_confident(F.col("entities"), params.entity_min_score))
 
 
-def with_impact_fallback(articles: DataFrame, model_fn: ImpactFn | None = None) -> DataFrame:
+def with_impact_fallback(
+    articles: DataFrame,
+    model_fn: ImpactFn | None = None,
+    batch_fn: ImpactBatchFn | None = None,
+    batch_size: int = BATCH_SIZE,
+) -> DataFrame:
     """Add `fallback_impact`, asking the model only where no keyword decides; null elsewhere.
 
     Spark does not skip a Python function under a conditional expression, so decided rows go to
     Python as nulls, which cost nothing there. The step stays row-local: no join back.
+    `batch_fn` takes up to `batch_size` undecided texts at a time.
     """
-    if model_fn is None:
+    _one_model(model_fn, batch_fn, batch_size)
+    if model_fn is None and batch_fn is None:
         return articles.withColumn("fallback_impact", F.lit(None).cast("string"))
 
+    def named(label: str) -> str:
+        return next((name for name in ("high", "medium") if name in label), "low")
+
     def level(text: str) -> str:
         try:
-            label = model_fn(text)
+            return named(model_fn(text))
         except Exception:
             return "unknown"
-        return next((name for name in ("high", "medium") if name in label), "low")
+
+    def batch_levels(texts: list[str]) -> list[str]:
+        return [named(label) for label in batch_fn(texts)]
 
     @F.pandas_udf(T.StringType())
     def asked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(level, na_action="ignore")
+            if batch_fn is None:
+                yield batch.map(level, na_action="ignore")
+            else:
+                yield asked_in_batches(batch, batch.notna(), batch_levels, batch_size, failed="unknown")
 
     headline = F.col("headline")
     undecided = F.when(keyword_impact(headline).isNull(), headline)

@@ -69,31 +69,51 @@ def canonical_probs(scores: Mapping[str, float]) -> tuple[float, float, float]:
     return total["positive"], total["negative"], total["neutral"]
 
 
+def leading_words(text: Column, most: int) -> Column:
+    """The text up to its `most`-th word, white space kept; unchanged if it has no more words."""
+    if most < 1:
+        raise ValueError(f"at least one word must stay, got {most}")
+    return F.regexp_extract(text, rf"^\s*+(?:\S++\s++){{0,{most - 1}}}+\S*+(?:\s++\z)?", 0)
+
+
 def score_texts(
-    articles: DataFrame, models: Sequence[Model], text: str = "headline"
+    articles: DataFrame,
+    models: Sequence[Model],
+    text: str = "headline",
+    batch_size: int | None = None,
+    max_tokens: int | None = None,
 ) -> DataFrame:
-    """Run the models over `text` in Arrow batches; returns the score table."""
+    """Run the models over `text` in Arrow batches; returns the score table.
+
+    A model receives at most `batch_size` texts at a time (None: a whole Arrow batch), which bounds
+    the memory of its padded input. `max_tokens` cuts texts to that many words before they leave the JVM. A
+    model's own tokenizer makes one token or more of each word, so a model that reads that many
+    tokens loses nothing. A null text stays null.
+    """
     models = tuple(models)
+    if batch_size is not None and batch_size < 1:
+        raise ValueError(f"a batch holds at least one text, got {batch_size}")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
-            texts = batch["text"].tolist()
-            for index, model in enumerate(models):
-                if model.name not in _loaded:
-                    _loaded[model.name] = model.load()
-                start = time.perf_counter()
-                probs = [canonical_probs(s) for s in _loaded[model.name](texts)]
-                took_ms = (time.perf_counter() - start) * 1000 / len(texts)
-                out = pd.DataFrame(probs, columns=list(_PROBS))
-                out.insert(0, "article_hash", batch["article_hash"].to_numpy())
-                out.insert(1, "model_ix", index)
-                out["latency_ms"] = took_ms
-                yield out
-
-    inputs = articles.select("article_hash", F.col(text).alias("text"))
-    return inputs.mapInPandas(run, MODEL_SCORES)
+        for whole in batches:
+            size = batch_size or max(1, len(whole))
+            for at in range(0, len(whole), size):
+                batch = whole.iloc[at : at + size]
+                texts = batch["text"].tolist()
+                for index, model in enumerate(models):
+                    if model.name not in _loaded:
+                        _loaded[model.name] = model.load()
+                    start = time.perf_counter()
+                    probs = [canonical_probs(s) for s in _loaded[model.name](texts)]
+                    took_ms = (time.perf_counter() - start) * 1000 / len(texts)
+                    out = pd.DataFrame(probs, columns=list(_PROBS))
+                    out.insert(0, "article_hash", batch["article_hash"].to_numpy())
+                    out.insert(1, "model_ix", index)
+                    out["latency_ms"] = took_ms
+                    yield out
+
+    given = F.col(text) if max_tokens is None else leading_words(F.col(text), max_tokens)
+    return articles.select("article_hash", given.alias("text")).mapInPandas(run, MODEL_SCORES)
 
 
 # --- combination -----------------------------------------------------------------------------

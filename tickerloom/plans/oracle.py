@@ -647,6 +647,10 @@ def oracle_sql() -> dict[str, str]:
         f"select doc_id, coalesce({_KEYWORD}, case when contains(headline, 'names new') then 'high' "
         "else 'low' end) as market_impact from articles"
     )
+    q["entities_batched"] = q["entities"]
+    q["impact_fallback_batched"] = q["impact_fallback"]
+    leading = r"(select content_hash, regexp_extract(headline, '^\s*(?:\S+\s+){0,511}\S*') as headline from articles)"
+    q["score_leading"] = q["score_udf"].replace("as down from articles)", f"as down from {leading})")
     probs = "positive_prob, negative_prob, neutral_prob"
     three = _rs("positive_prob", "negative_prob", "neutral_prob")
     q["model_argmax"] = _sco(

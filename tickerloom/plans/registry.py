@@ -148,6 +148,30 @@ def impact_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return asked.select("doc_id", impact.alias("market_impact"))
 
 
+@query
+def score_leading(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 512 words of whole articles, 32 texts at a time."""
+    keyed = vw.articles(spark, sf).withColumnRenamed("content_hash", "article_hash")
+    scored = sc.score_texts(keyed, toy.MODELS, batch_size=32, max_tokens=512)
+    return scored.select("article_hash", "model_ix", *_r6(*_PROBS))
+
+
+@query
+def entities_batched(spark: SparkSession, sf: str) -> DataFrame:
+    found = mo.with_entities(_keyed(spark, sf).select("doc_id", "headline"), batch_fn=toy.entities_of_all)
+    return found.select("doc_id", F.inline("entities")).select(
+        "doc_id", "text", "entity_type", *_r6("confidence"), "start_char", "end_char"
+    )
+
+
+@query
+def impact_fallback_batched(spark: SparkSession, sf: str) -> DataFrame:
+    keyed = _keyed(spark, sf).select("doc_id", "headline")
+    asked = mo.with_impact_fallback(keyed, batch_fn=toy.impact_of_all)
+    impact = tx.market_impact(F.col("headline"), F.col("fallback_impact"))
+    return asked.select("doc_id", impact.alias("market_impact"))
+
+
 @query
 def model_argmax(spark: SparkSession, sf: str) -> DataFrame:
     return sc.model_argmax(_scores(spark, sf))

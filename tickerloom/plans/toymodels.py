@@ -49,3 +49,11 @@ def entities(text: str) -> list[dict[str, object]]:
 
 def impact(text: str) -> str:
     return "high market impact" if "names new" in text else "low market impact"
+
+
+def entities_of_all(texts: Sequence[str]) -> list[list[dict[str, object]]]:
+    return [entities(text) for text in texts]
+
+
+def impact_of_all(texts: Sequence[str]) -> list[str]:
+    return [impact(text) for text in texts]
