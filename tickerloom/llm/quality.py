@@ -45,8 +45,8 @@ class Bands:
     level: int = 3
 
 
-#: What `fit_bands` finds for the labelled prose of the given tables, rounded outwards. The limits suit
-#: European languages in Latin script; fit them again for others.
+#: Set by hand from the measured ratios of labelled prose, with a few percent of room. The limits suit
+#: European languages in Latin script; `fit_bands` finds those of other texts.
 PROSE = Bands(
     whole=(
         (256, 1.25, 1.95),
