@@ -113,9 +113,9 @@ def psi_band(value: Column) -> Column:
     return F.when(value < 0.1, "stable").when(value <= 0.2, "moderate").otherwise("significant")
 
 
-def _measures(profile: DataFrame, params: Params) -> DataFrame:
+def _measures(profile: DataFrame, params: Params, *kept: str) -> DataFrame:
     return profile.select(
-        "ref_n", "cur_n", _psi(params).alias("psi"), _js().alias("js"), _chi2_pvalue().alias("p")
+        *kept, "ref_n", "cur_n", _psi(params).alias("psi"), _js().alias("js"), _chi2_pvalue().alias("p")
     )
 
 
@@ -136,7 +136,8 @@ def js_divergence(reference: DataFrame, current: DataFrame, params: Params = DEF
     return measured.select(rounded(F.col("js"), 6).alias("js_divergence"))
 
 
-def _report(profile: DataFrame, params: Params, checked_at: Column | None = None) -> DataFrame:
+def report_of(profile: DataFrame, params: Params, checked_at: Column | None = None) -> DataFrame:
+    """A report for each row of counts and means of both sides."""
     alerts = F.array(
         F.when(
             F.col("psi") > params.psi_threshold,
@@ -145,9 +146,10 @@ def _report(profile: DataFrame, params: Params, checked_at: Column | None = None
         F.when(F.col("p") < params.chi2_alpha, F.format_string("Label drift chi2 p=%.4f", "p")),
         F.when(F.col("js") > params.js_threshold, F.format_string("Prediction drift JS=%.4f", "js")),
     )
-    measured = _measures(profile, params).withColumn("alerts", F.array_compact(alerts))
+    timed = profile.withColumn("timestamp", F.current_timestamp() if checked_at is None else checked_at)
+    measured = _measures(timed, params, "timestamp").withColumn("alerts", F.array_compact(alerts))
     return measured.select(
-        (checked_at if checked_at is not None else F.current_timestamp()).alias("timestamp"),
+        "timestamp",
         F.col("ref_n").alias("reference_rows"),
         F.col("cur_n").alias("current_rows"),
         rounded(F.col("psi"), 6).alias("psi_confidence"),
@@ -164,7 +166,7 @@ def drift_report(
     checked_at: Column | None = None,
 ) -> DataFrame:
     """One row; both sides are reduced in one aggregate."""
-    return _report(_profile(_both(reference, current), params), params, checked_at)
+    return report_of(_profile(_both(reference, current), params), params, checked_at)
 
 
 def _window(results: DataFrame, as_of: datetime | Column, hours: int, most: int | None) -> DataFrame:
@@ -262,5 +264,5 @@ def drift_split_half(
 ) -> DataFrame:
     """Newer half against older half; no row under `min_rows`."""
     marked = mark_halves(results, params=params)
-    report = _report(_profile(marked, params), params, checked_at)
+    report = report_of(_profile(marked, params), params, checked_at)
     return report.filter(F.col("reference_rows") + F.col("current_rows") >= min_rows)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tickerloom.functions.probability import argmax3, bin_index, rounded
 from tickerloom.functions.vocab import SENTIMENTS
 from tickerloom.operators.ordering import quantiles, with_running_totals
+from tickerloom.operators.sketches import exact_quantiles
 from tickerloom.params import DEFAULTS, Params
 
 _K = range(len(SENTIMENTS))
@@ -252,8 +253,15 @@ def rank_metrics(rows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     )
 
 
-def latency_percentiles(rows: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    found = quantiles(rows, "latency_ms", LATENCY_POINTS, buckets=params.order_buckets)
+def latency_percentiles(
+    rows: DataFrame, params: Params = DEFAULTS, sketches: DataFrame | None = None
+) -> DataFrame:
+    """With stored sketches of these rows, few of the distinct latencies are ordered."""
+    buckets = params.order_buckets
+    if sketches is None:
+        found = quantiles(rows, "latency_ms", LATENCY_POINTS, buckets=buckets)
+    else:
+        found = exact_quantiles(rows, sketches, "latency_ms", LATENCY_POINTS, buckets=buckets)
     return found.select(*[rounded(F.col(c), 2).alias(c) for c in LATENCY_POINTS])
 
 

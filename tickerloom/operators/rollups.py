@@ -12,6 +12,7 @@ from tickerloom.functions.probability import rounded
 from tickerloom.functions.vocab import E2E_BUCKETS, SENTIMENTS
 from tickerloom.operators.ordering import quantiles
 from tickerloom.operators.results import between, newest, since, ticker_mentions
+from tickerloom.operators.sketches import exact_quantiles
 from tickerloom.params import DEFAULTS, Params
 
 # Rollup column -> result column.
@@ -166,13 +167,22 @@ def ticker_heatmap(results: DataFrame, k: int = 20) -> DataFrame:
     return pivoted.orderBy(F.col("total").desc(), "ticker").limit(k)
 
 
-def confidence_distribution(results: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Five-number summary per sentiment, 1.5 IQR fences and the number of rows outside them."""
+FIVE_NUMBERS = {"lowest": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "highest": 1.0}
+
+
+def confidence_distribution(
+    results: DataFrame, params: Params = DEFAULTS, sketches: DataFrame | None = None
+) -> DataFrame:
+    """Five-number summary per sentiment, 1.5 IQR fences and the number of rows outside them.
+
+    With stored sketches of these rows, by sentiment, few of the distinct confidences are ordered.
+    """
     key = "ensemble_sentiment"
-    points = {"lowest": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "highest": 1.0}
-    summary = quantiles(
-        results, "ensemble_confidence", points, by=[key], buckets=params.order_buckets
-    )
+    value, buckets = "ensemble_confidence", params.order_buckets
+    if sketches is None:
+        summary = quantiles(results, value, FIVE_NUMBERS, by=[key], buckets=buckets)
+    else:
+        summary = exact_quantiles(results, sketches, value, FIVE_NUMBERS, by=[key], buckets=buckets)
     iqr = F.col("q3") - F.col("q1")
     fenced = summary.withColumn("lower_fence", F.col("q1") - 1.5 * iqr).withColumn(
         "upper_fence", F.col("q3") + 1.5 * iqr

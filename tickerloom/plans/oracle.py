@@ -404,8 +404,10 @@ def _calibration() -> list[str]:
 # --- drift -------------------------------------------------------------------------------------------
 
 
-def _drift(ref: str, cur: str) -> tuple[str, ...]:
-    """Tables for a drift report between two row sets given as FROM items."""
+def _drift(ref: str, cur: str, key: str = "") -> tuple[str, ...]:
+    """Tables for a drift report between two row sets given as FROM items; for each value of a key, if there is one."""
+    own, sets, grouped = (f"{key}, ", f"r join c using ({key})", f" group by {key}") if key else ("", "r, c", "")
+
     def profile(name: str, rows: str) -> str:
         bins = ", ".join(
             f"greatest(count(*) filter (({_bin('ensemble_confidence', 10)}) = {b}) / count(*), 1e-6) as b{b}"
@@ -415,8 +417,8 @@ def _drift(ref: str, cur: str) -> tuple[str, ...]:
             f"count(*) filter (ensemble_sentiment = '{s}') as l{k}" for k, s in enumerate(vocab.SENTIMENTS)
         )
         return (
-            f"{name} as (select count(*) as n, {bins}, {labels}, avg(positive_prob) as q0, "
-            f"avg(negative_prob) as q1, avg(neutral_prob) as q2 from {rows})"
+            f"{name} as (select {own}count(*) as n, {bins}, {labels}, avg(positive_prob) as q0, "
+            f"avg(negative_prob) as q1, avg(neutral_prob) as q2 from {rows}{grouped})"
         )
 
     psi = " + ".join(f"(c.b{b} - r.b{b}) * ln(c.b{b} / r.b{b})" for b in range(10))
@@ -438,10 +440,10 @@ def _drift(ref: str, cur: str) -> tuple[str, ...]:
     )
     return (
         profile("r", ref), profile("c", cur),
-        f"parts as (select r.n as reference_rows, c.n as current_rows, {psi} as psi, {cells}, {js} from r, c)",
-        f"measured as (select reference_rows, current_rows, psi, exp(-({chi2}) / 2) as p, "
+        f"parts as (select {own}r.n as reference_rows, c.n as current_rows, {psi} as psi, {cells}, {js} from {sets})",
+        f"measured as (select {own}reference_rows, current_rows, psi, exp(-({chi2}) / 2) as p, "
         f"least(({jsd}) / 2, 1) as js from parts)",
-        "report as (select reference_rows, current_rows, "
+        f"report as (select {own}reference_rows, current_rows, "
         f"{_r('psi')} as psi_confidence, {_r('js')} as js_divergence, {_r('p')} as chi2_pvalue, "
         "(psi > 0.2 or p < 0.01 or js > 0.1) as is_drifting, "
         "concat_ws('; ', case when psi > 0.2 then printf('PSI=%.4f > 0.2', psi) end, "
@@ -458,6 +460,11 @@ _CHECK = _drift(
     "(select results.* from results, now where published_at >= as_of - interval 24 hour)",
     "(select results.* from results, now where published_at >= as_of - interval 1 hour)",
 )
+_ENDS = "(select distinct date_trunc('hour', published_at) + interval 1 hour as checked_at from results)"
+_HOURS = _drift(*[
+    f"(select * from results join {_ENDS} on published_at >= checked_at - interval {h} hour and published_at < checked_at)"
+    for h in (24, 1)
+], "checked_at")
 _CHECK_CAPPED = _drift(
     f"(select results.* from results, now where published_at >= as_of - interval 24 hour {_NEWEST} 2000)",
     f"(select results.* from results, now where published_at >= as_of - interval 1 hour {_NEWEST} 500)",
@@ -705,6 +712,7 @@ def oracle_sql() -> dict[str, str]:
     q["insert_indexed"] = _res(
         f"select article_hash, ensemble_sentiment, {_iso('published_at')} as published_at from results")
     q["by_ticker"] = _res(f"select {_BRIEF} from {_ticker_rows('AAPL', 24)}")
+    q["by_ticker_postings"] = q["by_ticker"]
     q["dashboard_filter"] = _res(
         f"select {_BRIEF} from results, now where published_at >= as_of - interval 6 hour "
         "and ensemble_confidence >= 0.45 and ensemble_sentiment in ('positive', 'negative') "
@@ -774,6 +782,7 @@ def oracle_sql() -> dict[str, str]:
         f"'db' as source, 24 as hours from {_ticker_rows('GS', 24)} having count(*) > 0"
     )
     q["ticker_summary_whole"] = _whole(q["ticker_summary"], "NVDA", 48)
+    q["ticker_summary_postings"] = q["ticker_summary_whole"]
     q["ticker_cache_or_table_whole"] = _whole(q["ticker_cache_or_table"], "GS", 24)
     q["kpis"] = _res(
         "select articles, " + _rs("positive_pct", "negative_pct", "avg_confidence_pct", "avg_uncertainty_pct")
@@ -807,6 +816,7 @@ def oracle_sql() -> dict[str, str]:
                            max(ensemble_confidence) as highest from results group by 1)) s
             using (ensemble_sentiment) group by 1"""
     )
+    q["confidence_sketched"] = q["confidence_distribution"]
     q["run_summary"] = _res(
         f"select {_r('avg(ensemble_confidence)')} as avg_confidence, {_r('avg(ensemble_uncertainty)')} as avg_uncertainty, "
         "count(*) filter (is_uncertain) as uncertain_count, count(*) as total from results"
@@ -885,6 +895,7 @@ def oracle_sql() -> dict[str, str]:
         f"select ({_bin('p0', 10, '>')})::int as bin, count(*) as n, {_r('avg(p0)')} as mean_predicted_prob, "
         f"{_r('avg((y_true = 0)::int)')} as fraction_positive from eval_rows group by 1")
     q["latency_percentiles"] = _eva("select * from latency", _LATENCY)
+    q["latency_sketched"] = q["latency_percentiles"]
     q["eval_metrics"] = _eva(f"select metric, {_rs('value')} from flat", *_REPORT)
     q["eval_report"] = _eva(
         "select " + ", ".join(_pick(c, c) for c in _WIDE)
@@ -908,6 +919,11 @@ def oracle_sql() -> dict[str, str]:
         for m, c in (("psi", "psi_confidence"), ("js", "js_divergence"), ("chi2_pvalue", "chi2_pvalue"))), *_BY_SURE)
     thick = "select * from report where reference_rows >= 50 and current_rows >= 10"
     q["drift_check"] = _res(thick, *_CHECK)
+    q["drift_check_profiled"] = q["drift_check"]
+    q["drift_hourly"] = _res(
+        "select * replace (strftime(checked_at, '%Y-%m-%dT%H:%M:%S') as checked_at) "
+        "from report where reference_rows >= 50 and current_rows >= 10", *_HOURS,
+    )
     q["drift_check_capped"] = _res(thick, *_CHECK_CAPPED)
     q["drift_split_half"] = _res("select * from report", _HALVED, *_HALVES)
     # sources

@@ -17,15 +17,17 @@ from tickerloom.operators import drift as dr
 from tickerloom.operators import evaluate as ev
 from tickerloom.operators import limits as li
 from tickerloom.operators import models as mo
+from tickerloom.operators import profiles as pr
 from tickerloom.operators import results as rs
 from tickerloom.operators import rollups as ro
 from tickerloom.operators import scoring as sc
+from tickerloom.operators import sketches as sk
 from tickerloom.params import Params
 from tickerloom.plans import payloads as pl
 from tickerloom.plans import toymodels as toy
 from tickerloom.plans import views as vw
 from tickerloom.session import shared_dir
-from tickerloom.sources import feeds, keyindex, tables, topic
+from tickerloom.sources import feeds, keyindex, postings, tables, topic
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -425,6 +427,25 @@ def ticker_summary_whole(spark: SparkSession, sf: str) -> DataFrame:
     return ro.ticker_summary(stored, "nvda", vw.as_of(stored), 48)
 
 
+def _postings(spark: SparkSession, stored: DataFrame) -> DataFrame:
+    path = _batches(spark, stored, "postings", lambda b, p, k: postings.add_postings(b, p, k, compact_every=2))
+    return postings.read_postings(spark, path)
+
+
+@query
+def ticker_summary_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """The summary over all mentions, read from one ticker's inverted list."""
+    stored = vw.results(spark, sf)
+    own = postings.of_ticker(_postings(spark, stored), "nvda")
+    return ro.ticker_summary(own, "nvda", vw.as_of(stored), 48)
+
+
+@query
+def by_ticker_postings(spark: SparkSession, sf: str) -> DataFrame:
+    stored = vw.results(spark, sf)
+    return _brief(postings.by_ticker(_postings(spark, stored), stored, "aapl", vw.as_of(stored), 24))
+
+
 @query
 def ticker_aggregates(spark: SparkSession, sf: str) -> DataFrame:
     return ro.ticker_aggregates(vw.results(spark, sf))
@@ -467,13 +488,33 @@ def ticker_heatmap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def confidence_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    found = ro.confidence_distribution(vw.results(spark, sf))
+    return _distribution_rows(ro.confidence_distribution(vw.results(spark, sf)))
+
+
+def _batches(spark: SparkSession, rows: DataFrame, name: str, add: Callable[[DataFrame, str, int], object]) -> str:
+    """A committed table built by three batches, the last of them delivered twice."""
+    path = shared_dir(spark, name, uuid.uuid4().hex)
+    for k in (0, 1, 2, 2):
+        add(rows.filter(F.pmod(F.xxhash64("article_hash"), F.lit(3)) == k), path, k)
+    return path
+
+
+def _distribution_rows(found: DataFrame) -> DataFrame:
     return found.select(
         "ensemble_sentiment", "article_count", "outliers",
         *_r6("lowest", "q1", "median", "q3", "highest", "lower_fence", "upper_fence"),
     )
 
 
+@query
+def confidence_sketched(spark: SparkSession, sf: str) -> DataFrame:
+    """The distribution by way of stored hourly sketches, added in batches and merged."""
+    stored = vw.results(spark, sf)
+    by, value = ["ensemble_sentiment"], "ensemble_confidence"
+    path = _batches(spark, stored, "sketches", lambda b, p, k: sk.add_sketches(b, p, k, value, by, compact_every=2))
+    return _distribution_rows(ro.confidence_distribution(stored, sketches=sk.read_sketches(spark, path)))
+
+
 @query
 def run_summary(spark: SparkSession, sf: str) -> DataFrame:
     return ro.run_summary(vw.results(spark, sf)).select(
@@ -636,6 +677,15 @@ def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return ev.latency_percentiles(vw.eval_rows(spark, sf))
 
 
+@query
+def latency_sketched(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles of the log by way of stored hourly sketches."""
+    times = vw.results(spark, sf).select("article_hash", "published_at")
+    rows = vw.eval_rows(spark, sf).select("article_hash", "latency_ms").join(times, "article_hash")
+    path = _batches(spark, rows, "latency", lambda b, p, k: sk.add_sketches(b, p, k, "latency_ms", compact_every=2))
+    return ev.latency_percentiles(rows, sketches=sk.read_sketches(spark, path))
+
+
 @query
 def eval_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return ev.flatten_report(vw.eval_rows(spark, sf)).select("metric", *_r6("value"))
@@ -707,6 +757,25 @@ def drift_check(spark: SparkSession, sf: str) -> DataFrame:
     return _alerts(dr.drift_check(stored, vw.as_of(stored)))
 
 
+def _profiles(spark: SparkSession, stored: DataFrame) -> DataFrame:
+    path = _batches(spark, stored, "profiles", lambda b, p, k: pr.add_profiles(b, p, k, compact_every=2))
+    return pr.read_profiles(spark, path)
+
+
+@query
+def drift_check_profiled(spark: SparkSession, sf: str) -> DataFrame:
+    """The drift check from stored hourly profiles and the rows of two broken hours."""
+    stored = vw.results(spark, sf)
+    return _alerts(pr.drift_check(_profiles(spark, stored), stored, vw.as_of(stored)))
+
+
+@query
+def drift_hourly(spark: SparkSession, sf: str) -> DataFrame:
+    """The drift check at the end of every hour, by a moving window over profiles."""
+    found = pr.drift_hourly(_profiles(spark, vw.results(spark, sf)))
+    return _alerts(found.withColumn("checked_at", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss")))
+
+
 @query
 def drift_check_capped(spark: SparkSession, sf: str) -> DataFrame:
     stored = vw.results(spark, sf)

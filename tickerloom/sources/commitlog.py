@@ -9,7 +9,7 @@ There is one writer at a time, as a stream has.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
@@ -46,9 +46,9 @@ def _note(spark: SparkSession, path: str, batch_id: int, is_base: bool, folder:
     entry.coalesce(1).write.mode("overwrite").json(f"{path}/log/{name}")
 
 
-def _write(df: DataFrame, path: str, batch_id: int, is_base: bool) -> None:
+def _write(df: DataFrame, path: str, batch_id: int, is_base: bool, by: Sequence[str] = ()) -> None:
     folder = f"data/{batch_id}-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{folder}")
+    df.write.partitionBy(*by).parquet(f"{path}/{folder}")
     _note(df.sparkSession, path, batch_id, is_base, folder)
 
 
@@ -56,11 +56,14 @@ def is_committed(spark: SparkSession, path: str, batch_id: int) -> bool:
     return any(e.batch_id >= batch_id if e.is_base else e.batch_id == batch_id for e in _entries(spark, path))
 
 
-def append(df: DataFrame, path: str, batch_id: int) -> bool:
-    """Add a batch's rows, or do nothing where that batch is in the table already; whether they were added."""
+def append(df: DataFrame, path: str, batch_id: int, by: Sequence[str] = ()) -> bool:
+    """Add a batch's rows, or do nothing where that batch is in the table already; whether they were added.
+
+    A table partitioned `by` columns is read folder by folder, with its schema.
+    """
     if is_committed(df.sparkSession, path, batch_id):
         return False
-    _write(df, path, batch_id, False)
+    _write(df, path, batch_id, False, by)
     return True
 
 
@@ -69,18 +72,26 @@ def pending(spark: SparkSession, path: str) -> int:
     return sum(not e.is_base for e in _live(_entries(spark, path))[0])
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Where the base and the batches after it lie."""
+    return [f"{path}/{e.folder}" for e in _live(_entries(spark, path))[0]]
+
+
 def read(spark: SparkSession, path: str) -> DataFrame | None:
     """Rows of the base and of the batches after it; none where nothing was committed."""
-    live, _ = _live(_entries(spark, path))
-    return spark.read.parquet(*[f"{path}/{e.folder}" for e in live]) if live else None
+    live = folders(spark, path)
+    return spark.read.parquet(*live) if live else None
 
 
-def compact(spark: SparkSession, path: str, merge: Callable[[DataFrame], DataFrame]) -> None:
+def compact(
+    spark: SparkSession, path: str, merge: Callable[[DataFrame], DataFrame], by: Sequence[str] = (),
+    rows: DataFrame | None = None,
+) -> None:
     """Replace what is committed by a new base, `merge` of all its rows."""
     live, _ = _live(_entries(spark, path))
     newest = max((e.batch_id for e in live), default=None)
     if newest is not None and any(not e.is_base for e in live):
-        _write(merge(read(spark, path)), path, newest, True)
+        _write(merge(read(spark, path) if rows is None else rows), path, newest, True, by)
 
 
 def forget(spark: SparkSession, path: str) -> None:
