@@ -389,16 +389,16 @@ def test_lines_by_brute_force(spark):
                 w[k : k + int(rng.integers(0, 2))] = ["zz"] * int(rng.integers(0, 2))
             lines.append("  ".join(w))
         docs.append((i, "\n".join(lines)))
-    seen, want = [], {}
+    seen, short, want = [], [], {}
     for i, text in docs:
         lines = text.split("\n")
         kept = []
         for line in lines:
             w = line.split()
-            if len(w) < 8 or not any(within_one(w, s) for s in seen):
+            gone = w in short if len(w) < 8 else any(within_one(w, s) for s in seen)
+            if not gone or not w:
                 kept.append(line)
-            if len(w) >= 8:
-                seen.append(w)
+            (seen if len(w) >= 8 else short).append(w)
         want[i] = (len(lines), len(lines) - len(kept), "\n".join(kept))
     got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_text"]) for r in got} == want

@@ -15,6 +15,6 @@ def kept(spark, rules):
 
 
 def test_equal_short_lines_go_where_asked(spark):
-    got = kept(spark, line_dedup.LineRules(equal_words=1))
+    got = kept(spark, line_dedup.LineRules())
     assert got == {1: (0, DOCS[0][1]), 2: (2, "\nRead more there"), 3: (2, "\nown")}
-    assert kept(spark, line_dedup.LineRules()) == {1: (0, DOCS[0][1]), 2: (1, "Read  more here\n\nRead more there"), 3: (0, DOCS[2][1])}
+    assert kept(spark, line_dedup.LineRules(equal_words=8)) == {1: (0, DOCS[0][1]), 2: (1, "Read  more here\n\nRead more there"), 3: (0, DOCS[2][1])}

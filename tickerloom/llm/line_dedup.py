@@ -20,14 +20,14 @@ from tickerloom.session import prepare
 
 @dataclass(frozen=True)
 class LineRules:
-    #: Shorter lines are not compared for an edited word, and by default not for equality either.
+    #: Shorter lines are not compared for an edited word: one word of three is no small edit.
     least_words: int = 8
     #: Equal lines of at least so many words go; 1 leaves blank lines only.
-    equal_words: int | None = None
+    equal_words: int = 1
 
     @property
     def shortest(self) -> int:
-        return self.least_words if self.equal_words is None else min(self.equal_words, self.least_words)
+        return min(self.equal_words, self.least_words)
 
 
 def line_words(line: Column) -> Column:
@@ -36,10 +36,13 @@ def line_words(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, least_words: int) -> DataFrame:
-    """(id, no, words) of the lines that are long enough."""
-    listed = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("no", "line"))
-    words = listed.select("id", "no", line_words(F.col("line")).alias("words"))
-    return words.filter(F.size("words") >= least_words)
+    """(id, no, words) of the lines that are long enough.
+
+    Lines are cut into words before they become rows: on a column of the row the filter would cut them again.
+    """
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    listed = docs.select(F.col(id_col).alias("id"), F.posexplode(F.transform(lines, line_words)).alias("no", "words"))
+    return listed.filter(F.size("words") >= least_words)
 
 
 def _line_key(words: Column) -> list[Column]:
@@ -51,9 +54,9 @@ def _half_keys(words: Column) -> Column:
     def of(h: Column) -> list[Column]:
         return [F.xxhash64(F.slice(words, F.lit(1), h), F.lit(0)), F.xxhash64(F.slice(words, F.size(words) - h + 1, h), F.lit(1))]
 
-    half = F.floor(F.size(words) / 2).cast("int")
-    lower = F.floor((F.size(words) - 1) / 2).cast("int")
-    return F.array_distinct(F.array(*of(half), *of(lower)))
+    half = F.shiftright(F.size(words), 1)
+    # The shorter of two lines may have one word fewer, which halves an even number at another place.
+    return F.when(F.size(words) % 2 == 1, F.array(*of(half))).otherwise(F.array(*of(half), *of(half - 1)))
 
 
 def _variants(words: Column) -> Column:
@@ -153,8 +156,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", rules: LineRules = L
     """(id, no) of lines that go: an equal line, or one within one edited word, stands earlier.
 
     Earlier means at a smaller id, or before in the same document; whether the earlier line goes itself
-    does not matter. Lines with fewer than `least_words` words go only as equal lines, and only where
-    `equal_words` lets them.
+    does not matter. Lines with fewer than `least_words` words go only as equal lines, blank ones never.
     """
     halves = F.when(F.size("words") >= rules.least_words, _half_keys(F.col("words")))
     lines = _lines(docs, id_col, rules.shortest).select("id", "no", *_line_key(F.col("words")), halves.alias("halves"))

@@ -114,9 +114,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cleaned_lines(_table(spark, sf_dir, "documents"), line_dedup.LineRules())
 
 
-def op9_line_dedup_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal lines of any length go, too."""
-    return _cleaned_lines(_table(spark, sf_dir, "documents"), line_dedup.LineRules(equal_words=1))
+def op9_line_dedup_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of fewer than eight words all stay, equal ones too."""
+    return _cleaned_lines(_table(spark, sf_dir, "documents"), line_dedup.LineRules(equal_words=8))
 
 
 def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +162,7 @@ def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Query]:
     ops = (
         op1_quality, op2_chat, op3_near_dedup, op4_secrets, op5_packing, op6_exact_dedup, op7_pieces,
-        op8_substring_dedup, op9_line_dedup, op9_line_dedup_short, op10_classifier,
+        op8_substring_dedup, op9_line_dedup, op9_line_dedup_long, op10_classifier,
         op11_phrases, op12_prefix_trie, op13_decontaminate,
     )
     return {f.__name__: f for f in ops}

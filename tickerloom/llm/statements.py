@@ -225,8 +225,8 @@ def llm_oracle_sql() -> dict[str, str]:
         "op4_secrets": _secret_spans(),
         "op6_exact_dedup": _EXACT,
         "op8_substring_dedup": _REPEATS,
-        "op9_line_dedup": _lines(),
-        "op9_line_dedup_short": _lines_short(),
+        "op9_line_dedup": _lines_short(),
+        "op9_line_dedup_long": _lines(),
         "op11_phrases": _PHRASES,
         "op12_prefix_trie": _TRIE,
         "op13_decontaminate": _LEAKS,
