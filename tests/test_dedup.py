@@ -119,3 +119,9 @@ def test_drop_seen(spark):
     assert dd.drop_near_seen(batch, near).count() == 0
     assert dd.drop_near_seen(batch, far).count() == 2
     assert batch.select(F.max("fp")).first()[0] == 2
+
+
+def test_banded_joins_send_no_table_through_the_driver(spark):
+    prints = spark.range(500).select(F.xxhash64("id").alias("fp"))
+    for found in (dd.near_pairs(prints), dd.near_pairs(prints, prints.limit(50))):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

@@ -37,7 +37,7 @@ def remembered(
     """(fp, newest): for fingerprints of `prints`, the newest `ts` after `since` of a stored one near it.
 
     Where one key holds more than `hot` stored rows, pairs of those come from `near_pairs`, which cuts such
-    keys a second time.
+    keys a second time. Joins with banded rows are sort-merge joins by hint, as in `near_pairs`.
     """
     index = read_table(prints.sparkSession, path)
     if index is None:
@@ -46,13 +46,13 @@ def remembered(
     window = window.select("band", "band_key", F.col("fp").alias("seen"), F.col(ts).alias("at"))
     own = dd.banded(prints.select("fp").distinct(), params.near_distance)
     key = ["band", "band_key"]
-    met = window.join(own.select(*key), key, "left_semi").checkpoint()
+    met = window.join(own.select(*key).hint("merge"), key, "left_semi").checkpoint()
     crowded = met.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select(*key).checkpoint()
     near = distance(F.col("fp"), F.col("seen")) <= params.near_distance
     if crowded.isEmpty():
-        found = own.join(met, key).filter(near).select("fp", "at")
+        found = own.hint("merge").join(met, key).filter(near).select("fp", "at")
     else:
-        plain = own.join(met.join(F.broadcast(crowded), key, "left_anti"), key).filter(near).select("fp", "at")
+        plain = own.hint("merge").join(met.join(F.broadcast(crowded), key, "left_anti"), key).filter(near).select("fp", "at")
         dense = met.join(crowded, key, "left_semi").groupBy(F.col("seen").alias("fp")).agg(F.max("at").alias("at"))
         asking = own.join(crowded, key, "left_semi").select("fp").distinct()
         pairs = dd.near_pairs(asking, dense.select("fp"), max_distance=params.near_distance)
