@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_dedup import greedy
 from tickerloom.functions.fingerprint import simhash_value
 from tickerloom.operators import rollups as ro
-from tickerloom.plans import views
+from tickerloom.plans import streams, views
 from tickerloom.sources.tables import read_table
 from tickerloom.sources.topic import read_message_files
 from tickerloom.streaming import jobs
@@ -166,3 +166,18 @@ def test_window_does_not_depend_on_batches(spark, tmp_path):
             finish(job(arrivals(spark, tmp_path / job.__name__, rows, batches), out), tmp_path / f"cp-{job.__name__}{batches}")
             got = {r.ordinal for r in spark.read.parquet(f"{out}/kept").collect()}
             assert got == expected, (job.__name__, batches)
+
+
+def test_a_given_table_may_be_a_file_or_a_folder_of_files(spark, tmp_path):
+    rows = spark.range(20).select(F.col("id").alias("doc_id"), F.concat(F.lit("AAPL beats "), "id").alias("text"))
+    rows = rows.withColumn("lang", F.lit("en")).withColumn("source", F.lit("s")).withColumn("n_chars", F.lit(9))
+    rows.repartition(3).write.parquet(f"{tmp_path}/folder/documents.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/written")
+    (tmp_path / "file").mkdir()
+    part = next((tmp_path / "written").glob("part-*.parquet"))
+    (tmp_path / "file" / "documents.parquet").write_bytes(part.read_bytes())
+    for kind in ("folder", "file"):
+        stream = streams._stream(spark, f"{tmp_path}/{kind}", "documents")
+        query = stream.writeStream.format("memory").queryName(f"read_{kind}").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert spark.table(f"read_{kind}").count() == 20

@@ -19,9 +19,9 @@ from tickerloom.streaming import jobs, keyed
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table as a file stream."""
+    """A given table as a file stream. The table is a file or a folder of files: as a pattern, its path may be either."""
     schema = vw.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{{{name}}}.parquet")
 
 
 def _place(spark: SparkSession, name: str) -> str:
