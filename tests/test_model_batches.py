@@ -1,5 +1,8 @@
 """Model hooks that take lists: same answers as one text at a time, whatever fails beside it."""
 
+import weakref
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +80,24 @@ def test_leading_words(spark):
     assert got[:5] == ["", "  ", "a", " a  b\tc\n", "a b c"]
     assert got[5] == "x" * 50_000 + " y z" and got[6] is None
     assert df.select(sc.leading_words(F.col("t"), 512)).collect()[5][0].split() == texts[5].split()[:512]
+
+
+def test_answers_of_few_texts_are_alive_at_once():
+    alive = weakref.WeakSet()
+    most = 0
+
+    class Label(str):
+        pass
+
+    def model(texts):
+        nonlocal most
+        most = max(most, len(alive))
+        told = [Label(t.upper()) for t in texts]
+        alive.update(told)
+        return told
+
+    texts = pa.array([None if i % 3 == 0 else f"text {i}" for i in range(500)])
+    got = mo.asked_in_batches(texts, texts.is_valid(), model, 8, failed="?", kind=pa.string())
+    assert got.to_pylist() == [t and t.upper() for t in texts.to_pylist()]
+    # Those of one call, and of the call before until its array stands.
+    assert most <= 16

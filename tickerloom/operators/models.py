@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +26,15 @@ EntityBatchFn = Callable[[Sequence[str]], Sequence[Sequence[Mapping[str, object]
 ImpactBatchFn = Callable[[Sequence[str]], Sequence[str]]
 BATCH_SIZE = 32
 
+_MENTIONS = pa.list_(
+    pa.struct(
+        [
+            ("text", pa.string()), ("entity_type", pa.string()), ("confidence", pa.float64()),
+            ("start_char", pa.int32()), ("end_char", pa.int32()),
+        ]
+    )
+)
+
 
 def answers(model_fn: Callable[[list[str]], Sequence], texts: list[str], size: int, failed: object) -> list:
     """One answer per text, asked for `size` texts at a time; `failed` where the model fails.
@@ -51,14 +62,22 @@ def answers(model_fn: Callable[[list[str]], Sequence], texts: list[str], size: i
 
 
 def asked_in_batches(
-    values: pd.Series, asked: pd.Series, model_fn: Callable[[list[str]], Sequence], size: int, failed: object
-) -> pd.Series:
-    """`answers` for the texts of a series where `asked` holds, null for the others."""
-    out = pd.Series([None] * len(values), index=values.index, dtype=object)
-    given = [i for i, wanted in enumerate(asked) if wanted]
-    for i, answer in zip(given, answers(model_fn, [values.iat[i] for i in given], size, failed)):
-        out.iat[i] = answer
-    return out
+    values: pa.Array, asked: pa.Array, model_fn: Callable[[list[str]], Sequence], size: int, failed: object,
+    kind: pa.DataType, unasked: object = None,
+) -> pa.Array:
+    """`answers` for the texts of an array where `asked` holds, `unasked` for the others.
+
+    Texts become Python objects `size` at a time and their answers an array at once, so objects of a few
+    texts are alive, however many an Arrow batch holds.
+    """
+    given = np.flatnonzero(np.asarray(asked))
+    place = np.full(len(values), len(given))
+    place[given] = np.arange(len(given))
+    told = []
+    for at in range(0, len(given), size):
+        texts = values.take(pa.array(given[at : at + size])).to_pylist()
+        told.append(pa.array(answers(model_fn, texts, size, failed), kind))
+    return pa.concat_arrays([*told, pa.array([unasked], kind)]).take(pa.array(place))
 
 
 def keep_confident(entities: Column, min_score: float) -> Column:
@@ -93,25 +112,18 @@ def with_entities(
         return articles.withColumn("entities", F.array().cast(kind))
     fields = ENTITY.fieldNames()
 
-    def mentions(text: str | None) -> list[tuple]:
-        if not text:
-            return []
-        try:
-            return [tuple(m[f] for f in fields) for m in model_fn(text)]
-        except Exception:
-            return []
+    ask = batch_fn if batch_fn is not None else lambda texts: [model_fn(text) for text in texts]
+
+    def mentions(texts: list[str]) -> list[list[dict]]:
+        return [[{f: m[f] for f in fields} for m in told] for told in ask(texts)]
 
-    def batch_mentions(texts: list[str]) -> list[list[tuple]]:
-        return [[tuple(m[f] for f in fields) for m in found] for found in batch_fn(texts)]
+    size = batch_size if batch_fn is not None else 1
 
-    @F.pandas_udf(kind)
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(kind)
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            if batch_fn is None:
-                yield batch.map(mentions)
-            else:
-                told = asked_in_batches(batch, batch.fillna("") != "", batch_mentions, batch_size, failed=[])
-                yield told.map(lambda mentions: [] if mentions is None else mentions)
+            asked = pc.greater(pc.fill_null(pc.binary_length(batch), 0), 0)
+            yield asked_in_batches(batch, asked, mentions, size, failed=[], kind=_MENTIONS, unasked=[])
 
     raw = articles.withColumn("entities", found("headline"))
     return raw.withColumn("entities", keep_confident(F.col("entities"), params.entity_min_score))
@@ -136,22 +148,16 @@ def with_impact_fallback(
     def named(label: str) -> str:
         return next((name for name in ("high", "medium") if name in label), "low")
 
-    def level(text: str) -> str:
-        try:
-            return named(model_fn(text))
-        except Exception:
-            return "unknown"
+    ask = batch_fn if batch_fn is not None else lambda texts: [model_fn(text) for text in texts]
+    size = batch_size if batch_fn is not None else 1
 
-    def batch_levels(texts: list[str]) -> list[str]:
-        return [named(label) for label in batch_fn(texts)]
+    def levels(texts: list[str]) -> list[str]:
+        return [named(label) for label in ask(texts)]
 
-    @F.pandas_udf(T.StringType())
-    def asked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.StringType())
+    def asked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            if batch_fn is None:
-                yield batch.map(level, na_action="ignore")
-            else:
-                yield asked_in_batches(batch, batch.notna(), batch_levels, batch_size, failed="unknown")
+            yield asked_in_batches(batch, pc.is_valid(batch), levels, size, failed="unknown", kind=pa.string())
 
     headline = F.col("headline")
     undecided = F.when(keyword_impact(headline).isNull(), headline)
