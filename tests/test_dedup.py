@@ -1,4 +1,5 @@
 import random
+from unittest.mock import patch
 
 from pyspark.sql import functions as F
 
@@ -125,3 +126,18 @@ def test_banded_joins_send_no_table_through_the_driver(spark):
     prints = spark.range(500).select(F.xxhash64("id").alias("fp"))
     for found in (dd.near_pairs(prints), dd.near_pairs(prints, prints.limit(50))):
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounds_send_no_table_through_the_driver(spark):
+    prints = F.array(*map(F.lit, sorted(set(clustered(3)))))
+    firsts = spark.range(len(set(clustered(3)))).select(F.get(prints, F.col("id").cast("int")).alias("fp"), F.col("id").alias("ordinal"))
+    places = []
+    checkpoint = type(firsts).checkpoint
+
+    def watched(df, *a, **b):
+        places.append(df._jdf.queryExecution().executedPlan().toString())
+        return checkpoint(df, *a, **b)
+
+    with patch.object(type(firsts), "checkpoint", watched):
+        dd.dropped_fingerprints(firsts, Params(), "ordinal")
+    assert len(places) >= 3 and not any("Broadcast" in p for p in places)

@@ -176,10 +176,11 @@ def dropped_fingerprints(
     """
     if pairs is None:
         pairs = near_pairs(firsts.select("fp"), max_distance=params.near_distance)
+    # By hint, no join of the loop sends a table through the driver, however many rounds it takes.
     order = firsts.select("fp", F.col(arrival).alias("at"))
     placed = (
-        pairs.join(order.withColumnsRenamed({"fp": "fp_a", "at": "at_a"}), "fp_a")
-        .join(order.withColumnsRenamed({"fp": "fp_b", "at": "at_b"}), "fp_b")
+        pairs.join(order.withColumnsRenamed({"fp": "fp_a", "at": "at_a"}).hint("merge"), "fp_a")
+        .join(order.withColumnsRenamed({"fp": "fp_b", "at": "at_b"}).hint("merge"), "fp_b")
     )
     a_first = F.col("at_a") < F.col("at_b")
     edges = placed.select(
@@ -188,15 +189,15 @@ def dropped_fingerprints(
     ).checkpoint()
     rounds = [edges.select(F.col("late").alias("fp")).limit(0)]
     while not edges.isEmpty():
-        blocked = edges.select(F.col("late").alias("early")).distinct()
+        blocked = edges.select(F.col("late").alias("early")).distinct().hint("merge")
         dropped = (
             edges.join(blocked, "early", "left_anti")
             .select(F.col("late").alias("fp")).distinct().checkpoint()
         )
         rounds.append(dropped)
         edges = (
-            edges.join(dropped.withColumnRenamed("fp", "late"), "late", "left_anti")
-            .join(dropped.withColumnRenamed("fp", "early"), "early", "left_anti")
+            edges.join(dropped.withColumnRenamed("fp", "late").hint("merge"), "late", "left_anti")
+            .join(dropped.withColumnRenamed("fp", "early").hint("merge"), "early", "left_anti")
             .checkpoint()
         )
     return reduce(DataFrame.unionByName, rounds)

@@ -88,17 +88,17 @@ def keep_in_window(
             own = kept[-1].select("fp", F.col(ts).alias("newest"))
             blocks.append(own)
             if not alone:
-                blocks.append(own.join(both, F.col("fp") == F.col("fp_a")).select(F.col("fp_b").alias("fp"), "newest"))
+                blocks.append(own.join(both.hint("merge"), F.col("fp") == F.col("fp_a")).select(F.col("fp_b").alias("fp"), "newest"))
         left = cut.filter(F.col("__slice") == span["__slice"]).drop("__slice")
         if blocks:
             until = reduce(DataFrame.union, blocks).groupBy("fp").agg(F.max("newest").alias("__newest"))
             free = F.col("__newest").isNull() | (F.col(ts) >= F.col("__newest") + window)
-            left = left.join(until, "fp", "left").filter(free).drop("__newest")
+            left = left.join(until.hint("merge"), "fp", "left").filter(free).drop("__newest")
         first = dd.dedup_exact(left, "fp", arrival).select(*prints.columns)
         if not alone:
             first = first.checkpoint()
             dropped = dd.dropped_fingerprints(first.select("fp", arrival), params, arrival, pairs)
-            first = first.join(dropped, "fp", "left_anti")
+            first = first.join(dropped.hint("merge"), "fp", "left_anti")
         kept.append(first.select(*prints.columns).checkpoint())
     out = reduce(DataFrame.unionByName, kept)
     append_bands(out, path, batch_id, ts, params)
