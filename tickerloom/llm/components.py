@@ -20,12 +20,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.toDF("u", "v"))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is a centre without an edge to a smaller node, or has one such edge and no other."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("centre")).union(
+        edges.select("v", F.lit(0), F.lit(1))
+    )
+    roles = ends.groupBy("x").agg((F.sum("up") + F.max("centre")).alias("roles"))
+    return roles.filter("roles > 1").limit(1).count() == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of the link table (a, b); the component is its smallest node.
 
     Links are undirected; loops and repeated links do no harm; nodes without a link to another are
     not returned. Every step is a join on nodes, never a list of one node's neighbours, and each
-    round is checkpointed. The loop ends when a round changes nothing.
+    round is checkpointed. The loop ends when only stars are left, which a round would not change.
     """
     prepare(links.sparkSession)
     edges = (
@@ -34,12 +43,7 @@ def components(links: DataFrame) -> DataFrame:
         .distinct()
         .checkpoint()
     )
-    seen = None
-    while True:
-        mark = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(mark) == seen:
-            break
-        seen = tuple(mark)
+    while not _stars(edges):
         edges = _small_star(_large_star(edges).distinct()).distinct().checkpoint()
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(edges.select("v", "v").distinct())

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tickerloom.llm.components import components
 from tickerloom.llm.membership import bit_array, bitmap, fresh, in_bits, maybe_members
 from tickerloom.llm.words import Texts, mix, text_slices, words_of
-from tickerloom.session import prepare
+from tickerloom.session import brief_shuffles, prepare
 
 #: Standard deviations that a true pair may fall behind its expected overlap.
 _SLACK = 5.5
@@ -38,6 +38,8 @@ class NearRules:
     split_list: int = 10_000
     #: Texts of a block whose sets meet those of another block in one task.
     block: int = 512
+    #: How many values before a shared one are looked at to tell whether two texts have met already.
+    before: int = 8
     #: Cells of the fixed-size table that orders values by how many sketches hold them.
     cells: int = 1 << 18
 
@@ -306,7 +308,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, rules: NearRules, id_col: str)
 
 
 def near_links(docs: DataFrame, distinct: DataFrame, rules: NearRules, id_col: str) -> DataFrame:
-    """Links (a, b) between distinct sets that join them into the same components as all links do.
+    """Pairs (a, b) of distinct sets that join them into the same components as all links do: components found
+    on the way, as pairs of a text and its component, and the links found after.
 
     Short lists are paired at once. In a long one every text first meets a pivot, the text whose
     values stand in the most lists, which links a group of copies by as many pairs as it has members.
@@ -325,16 +328,17 @@ def near_links(docs: DataFrame, distinct: DataFrame, rules: NearRules, id_col: s
     met = met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
     links = _verified(docs, pairs.union(met).distinct().checkpoint(), rules, id_col).checkpoint()
     found = components(links).checkpoint()
+    stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
     lists = _apart(lists, found).checkpoint()
     if lists.isEmpty():
-        return links
+        return stars
     direct = lists.filter(F.col("size") <= rules.split_list)
     split = _split(lists.filter(F.col("size") > rules.split_list), distinct)
     far = _crossed(direct, rules).union(_crossed(split, rules)).distinct().checkpoint()
     around = lists.filter("near").groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
     inner = lists.filter("near").join(around, "v", "left_semi").select("rep", "c").distinct().checkpoint()
-    links = links.union(_verified(docs, far, rules, id_col))
-    return links.union(_linked_by_prefix(docs, inner, rules, id_col)).checkpoint()
+    stars = stars.union(_verified(docs, far, rules, id_col))
+    return stars.union(_linked_by_prefix(docs, inner, rules, id_col)).checkpoint()
 
 
 def _around_pivots(lists: DataFrame, rules: NearRules) -> DataFrame:
@@ -380,21 +384,29 @@ def _linked_by_prefix(docs: DataFrame, chosen: DataFrame, rules: NearRules, id_c
                 size.append(np.full(len(first), n))
             row, place, value, size = (np.concatenate(x) for x in (row, place, value, size))
             take = pa.array(row)
+            back = np.minimum(place, rules.before)
+            ends = np.cumsum(back)
+            earlier = value[np.arange(back.sum()) + np.repeat(np.arange(len(value)) - ends, back)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(value), batch.column(0).take(take), batch.column(1).take(take), pa.array(size), pa.array(place)],
-                ["v", "rep", "c", "n", "i"],
+                [
+                    pa.array(value), batch.column(0).take(take), batch.column(1).take(take), pa.array(size), pa.array(place),
+                    pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(earlier)),
+                ],
+                ["v", "rep", "c", "n", "i", "e"],
             )
 
-    led = sets.mapInArrow(lead, f"v long, rep {key}, c {key}, n long, i long")
+    led = sets.mapInArrow(lead, f"v long, rep {key}, c {key}, n long, i long, e array<long>")
     held = led.groupBy("v", "c").agg(F.count(F.lit(1)).alias("k"))
     most = held.groupBy("v").agg(F.max(F.struct("k", "c")).alias("most"), F.count(F.lit(1)).alias("cs")).filter("cs > 1")
     led = led.join(most.select("v", F.col("most.c").alias("main")), "v").checkpoint()
     table.destroy()
     # Two texts of a list's main component need no link, so one of a pair is always outside of it.
-    other = led.select("v", F.col("rep").alias("b"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("i").alias("i2"))
+    other = led.select("v", F.col("rep").alias("b"), *[F.col(x).alias(f"{x}2") for x in ("c", "n", "i", "e")])
     behind = F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2"))
     enough = behind * (100 + rules.percent) >= (F.col("n") + F.col("n2")) * rules.percent
-    pairs = led.filter("c <> main").join(other, "v").filter((F.col("c") != F.col("c2")) & enough)
+    # Texts that share a value shortly before this one have met there, with more behind it.
+    once = ((F.col("c2") == F.col("main")) | (F.col("rep") < F.col("b"))) & ~F.arrays_overlap("e", "e2")
+    pairs = led.filter("c <> main").join(other, "v").filter((F.col("c") != F.col("c2")) & enough & once)
     pairs = pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct().checkpoint()
     return _linked_pairs(pairs, sets.select(F.col("rep").alias("id"), "s").distinct(), rules)
 
@@ -428,11 +440,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", rules: NearRules =
     """
     prepare(docs.sparkSession)
     own = docs.filter(F.col(id_col).isNotNull())
-    made = sketches(docs, rules, id_col).checkpoint()
     shared = ["set_a", "set_b", "n"]
-    reps = _distinct_sets(made, rules)
-    links = near_links(own, reps.filter("rep IS NOT NULL"), rules, id_col)
-    found = components(links)
+    with brief_shuffles(docs.sparkSession):
+        made = sketches(docs, rules, id_col).checkpoint()
+        reps = _distinct_sets(made, rules)
+        links = near_links(own, reps.filter("rep IS NOT NULL"), rules, id_col)
+        found = components(links)
     classes = reps.select(*shared, "rep").join(found, F.col("rep") == F.col("node"), "left")
     classes = classes.select(*shared, F.coalesce("component", "rep").alias("c"))
     component = F.coalesce("c", "id")
@@ -448,8 +461,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", rules: NearRules =
     """All columns of the rows whose document stays."""
     gone_id = fresh("__id", docs)
     gone = near_duplicates(docs, id_col, rules).filter("NOT kept").select(F.col(id_col).alias(gone_id)).distinct()
-    gone = gone.checkpoint()
-    bits = bitmap(gone, F.col(gone_id)).checkpoint()
+    with brief_shuffles(docs.sparkSession):
+        gone = gone.checkpoint()
+        bits = bitmap(gone, F.col(gone_id)).checkpoint()
     clean = maybe_members(docs, F.col(id_col), bits, absent=True)
     rest = maybe_members(docs, F.col(id_col), bits).join(
         gone, F.col(id_col).eqNullSafe(F.col(gone_id)), "left_anti"
