@@ -17,12 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.llm.membership import bit_array, bitmap, in_bits, maybe_members
 from tickerloom.llm.words import Texts, Words, mix, span_hashes, text_slices, words_of
-from tickerloom.session import prepare
+from tickerloom.session import brief_shuffles, prepare
 
 
 @dataclass(frozen=True)
@@ -235,15 +235,9 @@ def repeated_starts(docs: DataFrame, id_col: str, rules: RepeatRules) -> DataFra
 
     columns = f"id {key}, start int, content long, anchor int"
     windows = docs.select(id_col, "text").mapInArrow(emit, columns)
-    same = ["content", "anchor"]
-    first = (
-        windows.groupBy(*same)
-        .agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("c"))
-        .filter("c > 1")
-        .select(*same, "first")
-    )
-    later = windows.join(first, same).filter(F.struct("id", "start") > F.col("first"))
-    return later.select("id", "start")
+    # Equal windows meet in order of place, so they are sent once; rows that tie with the first are not later.
+    place = F.rank().over(Window.partitionBy("content", "anchor").orderBy("id", "start"))
+    return windows.withColumn("place", place).filter("place > 1").select("id", "start")
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", rules: RepeatRules = RepeatRules()) -> DataFrame:
@@ -283,8 +277,9 @@ def dedup_substrings(
     prepare(docs.sparkSession)
     key = docs.schema[id_col].dataType.simpleString()
     known = docs.select(id_col, "text").filter(F.col(id_col).isNotNull())
-    gone = removals(known, id_col, rules).checkpoint()
-    bits = bitmap(gone, F.col("id")).checkpoint()
+    with brief_shuffles(docs.sparkSession):
+        gone = removals(known, id_col, rules).checkpoint()
+        bits = bitmap(gone, F.col("id")).checkpoint()
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
