@@ -13,13 +13,16 @@ from tickerloom.functions import vocab
 _NOT_AFTER_WORD = r"(?<![\p{L}\p{N}_])"
 _NOT_BEFORE_WORD = r"(?![\p{L}\p{N}_])"
 _TICKER = r"(?=[A-Z])" + _NOT_AFTER_WORD + r"([A-Z]{1,5})" + _NOT_BEFORE_WORD
+# The first letters are looked at first, as a plain class: the long s is one in any case.
 _FORWARD = (
-    "(?iu)" + _NOT_AFTER_WORD + "(?:"
+    r"(?=[EeFfGgNnOoPpSsWw\u017f])(?iu)" + _NOT_AFTER_WORD + "(?:"
     + vocab.FORWARD_LOOKING_TERMS.replace("{ws}", vocab.WHITESPACE_CLASS).replace(
         "{ws_in}", vocab.WHITESPACE_CLASS[1:-1]
     )
     + ")" + _NOT_BEFORE_WORD
 )
+# White space but for the space itself; the first class leaves out what is most common.
+_OTHER_SPACE = "(?=[^ -~])[" + "".join(f"\\u{ord(c):04x}" for c in vocab.WHITESPACE_CHARS if c != " ") + "]"
 
 
 def strip(text: Column) -> Column:
@@ -37,11 +40,10 @@ def full_text(headline: Column, body: Column) -> Column:
 def normal_form(text: Column) -> Column:
     """Lower case, every white-space character a space, a space at both ends.
 
-    Counting words and looking them up are then single regular expressions over one string; an
-    array of words would be several times slower and leave generated code.
+    Counting words and looking them up are then searches in one string; an array of words would be
+    several times slower and leave generated code. Letters and spaces pass the pattern's first class at once.
     """
-    spaces = " " * len(vocab.WHITESPACE_CHARS)
-    plain = F.translate(F.lower(text), vocab.WHITESPACE_CHARS, spaces)
+    plain = F.regexp_replace(F.lower(text), F.lit(_OTHER_SPACE), F.lit(" "))
     return F.concat(F.lit(" "), plain, F.lit(" "))
 
 
@@ -51,15 +53,23 @@ def words(text: Column) -> Column:
 
 
 def _one_of(terms: tuple[str, ...]) -> str:
-    # The space behind a word is only looked at: it also opens the next word.
-    return " (?:" + "|".join(terms) + ")(?= )"
+    """A space and one of the words, by first letter. The space behind it is only looked at: it also opens the next word."""
+    tails: dict[str, list[str]] = {}
+    for term in terms:
+        tails.setdefault(term[0], []).append(term[1:])
+    branches = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in tails.items())
+    return f" (?=[{''.join(tails)}])(?:{branches})(?= )"
 
 
 def hedge_score(normal: Column) -> Column:
-    """Share of hedging words among the words of a normal form; 0 where there are none."""
-    total = F.regexp_count(normal, F.lit("[^ ]+"))
+    """Share of hedging words among the words of a normal form; 0 where there are none.
+
+    Words are counted by the single spaces around them: a pattern would list every word.
+    """
+    single = F.regexp_replace(normal, F.lit("  +"), F.lit(" "))
+    total = F.octet_length(single) - F.octet_length(F.replace(single, F.lit(" "), F.lit(""))) - 1
     hedges = F.regexp_count(normal, F.lit(_one_of(vocab.HEDGE_WORDS)))
-    return F.when(total == 0, F.lit(0.0)).otherwise(hedges / total)
+    return hedges / F.greatest(total, F.lit(1))
 
 
 def has_negation(normal: Column) -> Column:
@@ -92,21 +102,29 @@ def _contains_any(text: Column, terms: tuple[str, ...]) -> Column:
 
 def keyword_impact(headline: Column) -> Column:
     """high, medium, or null where no keyword occurs."""
-    lowered = F.lower(headline)
+    return _impact_in(F.lower(headline))
+
+
+def _impact_in(lowered: Column) -> Column:
     return F.when(_contains_any(lowered, vocab.HIGH_IMPACT), "high").when(
         _contains_any(lowered, vocab.MEDIUM_IMPACT), "medium"
     )
 
 
 def market_impact(headline: Column, fallback: Column | None = None) -> Column:
+    return _impact_or(keyword_impact(headline), fallback)
+
+
+def _impact_or(found: Column, fallback: Column | None) -> Column:
     model = fallback if fallback is not None else F.lit(None).cast("string")
-    return F.coalesce(keyword_impact(headline), model, F.lit("unknown"))
+    return F.coalesce(found, model, F.lit("unknown"))
 
 
 def with_features(articles: DataFrame, fallback_impact: str | None = None) -> DataFrame:
     """Add every text feature to (headline, body) rows. Row-local: one narrow stage.
 
-    Three selects, so that the text and its normal form are each built once per row.
+    Three selects, so that the text, its normal form and the lower-case headline are each built once per row: a chain
+    of "or" would build it again for every term.
     """
     fallback = F.col(fallback_impact) if fallback_impact else None
     kept = articles.columns
@@ -114,6 +132,7 @@ def with_features(articles: DataFrame, fallback_impact: str | None = None) -> Da
     with_normal = with_text.select(
         "*",
         normal_form(F.col("__text")).alias("__normal"),
+        F.lower("headline").alias("__lowered"),
         extract_tickers(F.col("__text")).alias("tickers"),
     )
     return with_normal.select(
@@ -123,7 +142,7 @@ def with_features(articles: DataFrame, fallback_impact: str | None = None) -> Da
         is_forward_looking(F.col("__text")).alias("is_forward_looking"),
         has_negation(F.col("__normal")).alias("has_negation"),
         hedge_score(F.col("__normal")).alias("hedge_score"),
-        market_impact(F.col("headline"), fallback).alias("market_impact"),
+        _impact_or(_impact_in(F.col("__lowered")), fallback).alias("market_impact"),
     )
 
 

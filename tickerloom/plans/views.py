@@ -17,7 +17,7 @@ from tickerloom.functions.text import content_hash
 from tickerloom.operators.results import assemble_results
 from tickerloom.operators.scoring import predict
 from tickerloom.params import Params
-from tickerloom.session import prepare, shared_dir, spread
+from tickerloom.session import prepare, shared_dir, spread_stored
 from tickerloom.sources.tables import append_by_date
 
 PHRASES = (
@@ -74,11 +74,11 @@ def as_articles(documents: DataFrame) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_articles(spread(table(spark, sf_dir, "documents")))
+    return as_articles(spread_stored(table(spark, sf_dir, "documents")))
 
 
 def raw_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_raw_docs(spread(table(spark, sf_dir, "documents")))
+    return as_raw_docs(spread_stored(table(spark, sf_dir, "documents")))
 
 
 def as_raw_docs(documents: DataFrame) -> DataFrame:
