@@ -40,11 +40,15 @@ def assemble_results(
     impact_fn: ImpactFn | None = None,
     processed_at: Column | None = None,
 ) -> DataFrame:
-    """Articles joined to their predictions by hash, with every text feature."""
+    """Articles joined to their predictions by hash, with every text feature.
+
+    A task holds its predictions, one narrow row per hash, in a hash table, and whole texts stream past
+    them. A sort-merge join sorts the texts as well, and spills them where a task's memory is short.
+    """
     keyed = articles.withColumnRenamed("content_hash", "article_hash")
     asked = with_impact_fallback(with_entities(keyed, entity_fn, params), impact_fn)
     featured = with_features(asked, "fallback_impact").drop("fallback_impact", "body", "author")
-    joined = featured.join(predictions, "article_hash").withColumn(
+    joined = featured.join(predictions.hint("shuffle_hash"), "article_hash").withColumn(
         "processed_at", processed_at if processed_at is not None else F.current_timestamp()
     )
     return conform(joined.withColumn("temperature_scaled", F.lit(True)), SENTIMENT_RESULT)
